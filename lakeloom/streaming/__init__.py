@@ -1,0 +1 @@
+"""lakeloom.streaming"""
