@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -51,3 +52,36 @@ def fresh(df: DataFrame, stem: str) -> str:
 def bucket_of_id(id_col: Column, n: int) -> Column:
     """crc32 of the identifier as text, modulo n; a null identifier counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def sorted_groups(batches, keys: int):
+    """Groups of rows that follow each other with equal values in the first `keys` integer columns, as Arrow tables.
+
+    The input must be sorted by these columns. Only the group at the end of a batch is carried to the next one.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        rest = own if rest is None else pa.concat_tables([rest, own])
+        new = np.zeros(rest.num_rows - 1, bool)
+        for k in range(keys):
+            col = rest.column(k).to_numpy()
+            new |= col[1:] != col[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1)]
+        if len(cuts) > 1:
+            rest = rest.combine_chunks()
+        for a, b in zip(cuts, cuts[1:]):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the Python worker, across the tasks that it runs. Its users bound what they keep."""
+    return sys.modules.setdefault("_lakeloom_worker_cache", types.ModuleType("_lakeloom_worker_cache")).__dict__

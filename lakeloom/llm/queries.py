@@ -1,7 +1,24 @@
 """Registry of this subpackage's queries and of their SQL for DuckDB."""
 
-from . import exact_dedup
+from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, licenses, minhash_dedup, mixing, secrets, toxicity
 
-QUERIES = {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
+    "op4_license_sentences": licenses.op4_license_sentences,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+}
 
-ORACLE = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+#: The others learn from data, compare sets of shingles or follow a vocabulary file; tests/llm holds them against brute force.
+ORACLE = {
+    "op4_license_sentences": licenses.OP4_SQL,
+    "op5_source_mixing": mixing.OP5_SQL,
+    "op8_embedding_dedup": embedding_dedup.OP8_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+}
