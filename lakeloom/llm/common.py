@@ -7,6 +7,8 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,6 @@ def sorted_groups(batches, keys: int):
 
     The input must be sorted by these columns. Only the group at the end of a batch is carried to the next one.
     """
-    import numpy as np
-    import pyarrow as pa
-
     rest = None
     for batch in batches:
         if not batch.num_rows:
@@ -85,3 +84,36 @@ def sorted_groups(batches, keys: int):
 def worker_cache() -> dict:
     """A dictionary that lasts as long as the Python worker, across the tasks that it runs. Its users bound what they keep."""
     return sys.modules.setdefault("_lakeloom_worker_cache", types.ModuleType("_lakeloom_worker_cache")).__dict__
+
+
+class KeyFilter:
+    """A bitmap of hashed keys, of at most 2^MOST_BITS bits (16 MB), that is broadcast to leave rows out of a later join.
+
+    It never leaves out a row whose key is among the keys; it lets through 1 in 16 of the others, and more once there are
+    over 8 million keys. So joins behind it stay exact, and shuffle little more than the rows that match.
+    """
+
+    MOST_BITS = 27
+
+    def __init__(self, keys: DataFrame):
+        """keys: one column, a 64-bit hash of the key."""
+        (h,) = keys.columns
+        self.n_bits = 1 << min(self.MOST_BITS, max(15, (16 * keys.count()).bit_length()))
+        bit = F.pmod(F.col(h), F.lit(self.n_bits)) + 1
+        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+        whole = np.zeros(self.n_bits // 8, np.uint8)
+        for r in rows:
+            at = (r["at"] - 1) * 4096
+            whole[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.bits = keys.sparkSession.sparkContext.broadcast(whole)
+
+    def maybe(self, h: Column) -> Column:
+        """Whether the key with this hash may be among the keys."""
+        bits, n_bits = self.bits, self.n_bits
+
+        @F.arrow_udf("boolean")
+        def among(hashes: pa.Array) -> pa.Array:
+            at = np.mod(hashes.to_numpy(zero_copy_only=False), n_bits)
+            return pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+        return among(h)

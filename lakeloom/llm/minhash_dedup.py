@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, sorted_groups, table
+from .common import KeyFilter, fresh, materialize, sorted_groups, table
 from .graph import connected_components
 
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
@@ -220,7 +220,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         """Of candidate pairs (a, b) those whose full sets are similar. Only the texts that a pair names are shuffled with it."""
         pairs = materialize(pairs, f"{label}-pairs")
         named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = materialize(texts.join(named, "id", "left_semi"), f"{label}-texts")
+        maybe = KeyFilter(named.select(F.xxhash64("id").alias("h"))).maybe(F.xxhash64("id"))
+        wanted = materialize(texts.filter(maybe).join(named, "id", "left_semi"), f"{label}-texts")
         both = pairs.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
         return materialize(both.filter(similar("body_a", "body_b")).select("a", "b").distinct(), f"{label}-links")
 
@@ -252,7 +253,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     marked = docs.withColumn(key, F.col(id_col).cast("string"))
     gone = found.filter("not kept").select(F.col("k").alias(key)).distinct()
     again = found.filter("kept and k is not null").groupBy("k").count().filter("count > 1").select(F.col("k").alias(key))
-    kept = marked.join(gone.unionByName(again), key, "left_anti")
+    out = gone.unionByName(again)
+    maybe = KeyFilter(out.select(F.xxhash64(key).alias("h"))).maybe(F.xxhash64(key))
+    kept = marked.filter(~maybe).unionByName(marked.filter(maybe).join(out, key, "left_anti"))
     if again.head(1):
         kept = kept.unionByName(marked.join(again, key, "left_semi").dropDuplicates([key]))
     return kept.select(*docs.columns)
