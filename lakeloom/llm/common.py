@@ -17,6 +17,21 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+TEXT_BATCH = 1000  # rows of text that go to Python at a time
+
+
+def small_batches(query):
+    """query, run in a session that hands texts to Python in batches of TEXT_BATCH rows at most, for bounded memory."""
+
+    def run(spark: SparkSession, *args):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        spark.conf.set(key, min(TEXT_BATCH, int(spark.conf.get(key))) if int(spark.conf.get(key)) > 0 else TEXT_BATCH)
+        return query(spark, *args)
+
+    run.__doc__ = query.__doc__
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

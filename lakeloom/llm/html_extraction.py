@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PAGES, PRACTICE, STEPS, PENALTY = 300, 240, 150, 0.002
+PAGES, PRACTICE, STEPS, PENALTY = 200, 300, 200, 0.0002
 #: Elements that begin and end blocks; elements whose content is no page text; elements without an end tag.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas head".split())
@@ -229,7 +229,9 @@ def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list
             return f"<{kind}>" + "".join(f"<p>{r.choice([link(), prose(4, 20), '&copy; ' + prose(2, 9)])}</p>" for _ in range(k)) + f"</{kind}>", k
         if kind == "comments":
             k = r.randint(1, 5)
-            return f'<{"section"} {r.choice(["class", "id"])}="{r.choice(["comments", "comment-list", "reader-comments", "replies"])}"><h2>Comments</h2>' + "".join(f'<div class="comment"><p>{prose(3, 40)}</p></div>' for _ in range(k)) + "</section>", k + 1
+            tag, head = r.choice(["section", "div", "ol"]), r.choice(["", "<h2>Comments</h2>", f"<h3>{prose(1, 3)}</h3>"])
+            item = r.choice(['<div class="comment"><p>{}</p></div>', "<p>{}</p>", '<p class="reply">{}</p>', "<blockquote>{}</blockquote>"])
+            return f'<{tag} {r.choice(["class", "id"])}="{r.choice(["comments", "comment", "comment-list", "reader-comments", "replies", "comments-area"])}">{head}' + "".join(item.format(prose(1, 40)) for _ in range(k)) + f"</{tag}>", k + bool(head)
         tag, words = r.choice(["div", "section", "p"]), r.choice(sorted(BOILERPLATE_WORDS))
         return f'<{tag} class="{words}">{prose(2, 30)}</{tag}>', 1
 
@@ -264,7 +266,7 @@ def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list
                 labels.extend([1] * k)
             else:
                 add(r.choice(["aside", "form", "classed", "classed"]))
-        if r.random() < 0.25:
+        if r.random() < 0.4:
             add("comments")
         parts.append(closing)
         for kind in r.sample(kinds, r.randint(0, 5)):

@@ -2,6 +2,8 @@
 
 from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, licenses, minhash_dedup, mixing, secrets, toxicity
 
+from .common import small_batches
+
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_language_id": language_id.op2_language_id,
@@ -15,6 +17,8 @@ QUERIES = {
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 
+QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
+
 #: The others learn from data, compare sets of shingles or follow a vocabulary file; tests/llm holds them against brute force.
 ORACLE = {
     "op4_license_sentences": licenses.OP4_SQL,
