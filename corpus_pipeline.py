@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import bpe, exact_dedup, minhash_dedup, mixing, toxicity
-from lakeloom.llm.common import materialize, table
+from lakeloom.llm.common import materialize, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("MinHash near-dedup", drop_near_copies), ("mixing sources to target weights", mix_sources), ("BPE encoding and decoding", tokenize)]
+STAGES = [(name, small_batches(stage)) for name, stage in [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("MinHash near-dedup", drop_near_copies), ("mixing sources to target weights", mix_sources), ("BPE encoding and decoding", tokenize)]]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
