@@ -13,26 +13,34 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, scratch_path, table
+from .common import KeyFilter, fresh, scratch_path, table
 
 
-def _normal(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() touches A-Z alone
+def _lowered(text: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts' UTF-8 in one piece, lower-cased at once, and where each begins; nulls are empty."""
+    text = pa.concat_arrays([text.fill_null("").cast(pa.large_binary())])
+    _, offsets, data = text.buffers()
+    return (data.to_pybytes() if data else b"").lower(), np.frombuffer(offsets, np.int64)[: len(text) + 1]
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def normal_bytes(text: pa.Array) -> pa.Array:
     """UTF-8 of the text with A-Z lower-cased, nothing else changed."""
-    return pa.array([(b or b"").lower() for b in text.cast(pa.binary()).to_pylist()], pa.binary())
+    data, offsets = _lowered(text)
+    return pa.Array.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def digest_bytes(text: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256((b or b"").lower()).digest() for b in text.cast(pa.binary()).to_pylist()], pa.binary())
+    data, offsets = _lowered(text)
+    whole, at = memoryview(data), offsets.tolist()
+    return pa.array([hashlib.sha256(whole[a:b]).digest() for a, b in zip(at, at[1:])], pa.binary())
 
 
 class DigestIndex:
@@ -94,6 +102,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 
     hits = level.filter("n_rows > 1")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
+    texts = texts.filter(KeyFilter(hits.select(F.xxhash64("digest").alias("h"))).maybe(F.xxhash64("digest")))  # other texts stay where they are
     hit_texts = join_level(texts, hits.select("digest", "n_rows"), total).select("digest", "id", normal_bytes(F.col("body")).alias("body"))
     # Copies of a group meet in the map-side half of this aggregate; what is shuffled is one row for each group, text and task.
     seen = hit_texts.groupBy("digest", "body").agg(F.count("*").alias("m"))
@@ -130,7 +139,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     marked = docs.withColumns({d: digest(F.col(text_col)), i: key(F.col(id_col))})
     stays = F.col("id").eqNullSafe(F.col("keep_id"))
     whole = entries.filter("part is null")
-    once = marked.join(named(whole.filter(~stays | (F.col("n") > 1))).drop(part), [d, i], "left_anti")
+    gone = named(whole.filter(~stays | (F.col("n") > 1))).drop(part)
+    maybe = KeyFilter(gone.select(F.xxhash64(d, i).alias("h"))).maybe(F.xxhash64(d, i))
+    once = marked.filter(~maybe).unionByName(marked.filter(maybe).join(gone, [d, i], "left_anti"))
     split = entries.filter("part is not null")
     out = [once]
     again = whole.filter(stays & (F.col("n") > 1))
