@@ -9,7 +9,8 @@ FAR_APART symbols (5 standard deviations beyond what a similarity of 0.75 makes
 
 Equal shingle sets collapse first. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
 member of a bucket against the bucket's smallest member; then, in buckets that still span several
-components, the pairs across components only, in blocks of at most about BLOCK rows a side.
+components, the pairs across components only, in blocks of about BLOCK rows a side. The rows of such a pair meet again
+with their texts, in the same blocks; only links come out, never pairs.
 
 Defined results: null, empty or white-space texts have no shingles and link with nothing; rows with a null identifier
 link with nothing and stay; rows that share an identifier are one document with several texts, of which one row per
@@ -25,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import KeyFilter, fresh, materialize, sorted_groups, table
-from .graph import connected_components
+from .graph import connected_components, spanning_edges
 
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
 WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-FAR_APART, BLOCK = 32, 1024
+FAR_APART, BLOCK = 32, 256
 _RNG = np.random.Generator(np.random.PCG64(20240901))
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -138,12 +140,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*(np.array([x]) for x in held[:2]), np.array([held[2]], np.int8), np.array([held[3]]), np.array([True]))
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def differing(a: pa.Array, b: pa.Array) -> pa.Array:
     x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(-1, SYMBOLS) for s in (a, b))
     return pa.array((x != y).sum(axis=1).astype(np.int32))
 
 
+def jaccard_at_least(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether threshold percent of two sorted sets' union is shared."""
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)) or not len(x):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    at = y.searchsorted(x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
 def _similar(threshold: int):
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -156,48 +170,63 @@ def _similar(threshold: int):
                 s = sets[text] = shingle_set(text)
             return s
 
-        out = []
-        for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist()):
-            x, y = of(x), of(y)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(bool(both) and 100 * both >= threshold * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+        return pa.array([jaccard_at_least(of(x), of(y), threshold) for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist())], pa.bool_())
 
     return similar
 
 
-def _across(threshold: int):
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a bucket's blocks that lie in different components, are near in size and signature, and meet here first."""
-        left, right = [], []
+def _candidates(g: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a bucket's two blocks that lie in different components, are near in size and signature, and share no earlier key."""
+    bi, bj, slot = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(4)[0].as_py()
+    blk, comp, n = (g.column(k).to_numpy() for k in (3, 6, 7))
+    sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    rows, cols = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+    for at in range(0, len(rows), 256):
+        r = rows[at : at + 256]
+        ok = (comp[r][:, None] != comp[cols][None]) & (100 * np.minimum.outer(n[r], n[cols]) >= threshold * np.maximum.outer(n[r], n[cols]))
+        if bi == bj:
+            ok &= r[:, None] < cols[None]
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 65536):
+            a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
+            off = sig[a] != sig[b]
+            near = off.sum(axis=1) <= FAR_APART
+            a, b, off = a[near], b[near], off[near].reshape(-1, CHUNKS, WIDTH)
+            if len(a):
+                chunk = (off.sum(axis=2) <= ERRORS).argmax(axis=1)
+                here = chunk * WIDTH + off[np.arange(len(a)), chunk].argmax(axis=1) == slot
+                yield a[here], b[here]
+
+
+def _with_partner(threshold: int):
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each bucket's two blocks the rows that are in a candidate pair: the rows whose texts must be read."""
         for g in sorted_groups(batches, 3):
-            bi, bj, slot = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(4)[0].as_py()
-            blk, i, comp, n = (g.column(k).to_numpy() for k in (3, 5, 6, 7))
-            sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            rows, cols = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-            for at in range(0, len(rows), 256):
-                r = rows[at : at + 256]
-                ok = (comp[r][:, None] != comp[cols][None]) & (100 * np.minimum.outer(n[r], n[cols]) >= threshold * np.maximum.outer(n[r], n[cols]))
-                if bi == bj:
-                    ok &= r[:, None] < cols[None]
-                x, y = np.nonzero(ok)
-                for k in range(0, len(x), 65536):
-                    a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
-                    off = sig[a] != sig[b]
-                    near = off.sum(axis=1) <= FAR_APART
-                    a, b, off = a[near], b[near], off[near].reshape(-1, CHUNKS, WIDTH)
-                    few = off.sum(axis=2) <= ERRORS
-                    chunk = few.argmax(axis=1)
-                    here = chunk * WIDTH + off[np.arange(len(a)), chunk].argmax(axis=1) == slot
-                    left.append(np.minimum(i[a[here]], i[b[here]]))
-                    right.append(np.maximum(i[a[here]], i[b[here]]))
-            if sum(map(len, left)) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-                left, right = [], []
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    return across
+            some = np.zeros(g.num_rows, bool)
+            for a, b in _candidates(g, threshold):
+                some[a] = some[b] = True
+            if some.any():
+                yield from g.filter(pa.array(some)).combine_chunks().to_batches()
+
+    return with_partner
+
+
+def _linked(threshold: int):
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks' rows again, with texts: spanning edges of the candidate pairs whose full sets are similar."""
+        for g in sorted_groups(batches, 3):
+            i = g.column(5).to_pylist()
+            sets = [shingle_set(t) for t in g.column(9).cast(pa.binary()).to_pylist()]
+            found: list[tuple[int, int]] = []
+            for a, b in _candidates(g, threshold):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if jaccard_at_least(sets[x], sets[y], threshold):
+                        found.append((i[x], i[y]))
+            if found:
+                star = spanning_edges(found)
+                yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in star], pa.int64()), pa.array([e[0] for e in star], pa.int64())], names=["a", "b"])
+
+    return linked
 
 
 def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
@@ -216,18 +245,17 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     similar = _similar(threshold)
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
 
-    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
-        """Of candidate pairs (a, b) those whose full sets are similar. Only the texts that a pair names are shuffled with it."""
-        pairs = materialize(pairs, f"{label}-pairs")
-        named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        maybe = KeyFilter(named.select(F.xxhash64("id").alias("h"))).maybe(F.xxhash64("id"))
-        wanted = materialize(texts.filter(maybe).join(named, "id", "left_semi"), f"{label}-texts")
-        both = pairs.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-        return materialize(both.filter(similar("body_a", "body_b")).select("a", "b").distinct(), f"{label}-links")
+    def read(ids: DataFrame) -> DataFrame:
+        """The texts of these identifiers; others are left out before the join shuffles them."""
+        maybe = KeyFilter(ids.select(F.xxhash64("id").alias("h"))).maybe(F.xxhash64("id"))
+        return texts.filter(maybe).join(ids, "id", "left_semi")
 
     stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    links = confirmed(stars.filter(differing("sig_a", "sig_b") <= FAR_APART).select("a", "b").distinct(), "star")
+    stars = materialize(stars.filter(differing("sig_a", "sig_b") <= FAR_APART).select("a", "b").distinct(), "stars")
+    wanted = materialize(read(materialize(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct(), "star-ids")), "star-texts")
+    both = stars.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    links = materialize(both.filter(similar("body_a", "body_b")).select("a", "b").distinct(), "star-links")
     components = connected_components(links)
 
     placed = _assign(buckets, components, "id")
@@ -235,10 +263,13 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     members = placed.join(open_keys, "key").join(reps.select("id", "n", "sig"), "id")
     members = members.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = members.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "slot", "id", "comp", "n", "sig")
-    pairs = tasks.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_across(threshold), "a long, b long").distinct()
-    more = confirmed(pairs.join(links, ["a", "b"], "left_anti"), "cross")
-    if more.head(1):
-        components = connected_components(components.union(more.select("a", "b")))
+    where = ["key", "bi", "bj"]
+    schema = "key long, bi int, bj int, blk int, slot byte, id long, comp long, n long, sig binary"
+    tasks = materialize(tasks.repartition(*where).sortWithinPartitions(*where).mapInArrow(_with_partner(threshold), schema), "partners")
+    if tasks.head(1):
+        wanted = materialize(read(materialize(tasks.select("id").distinct(), "cross-ids")), "cross-texts")
+        more = tasks.join(wanted, "id").select(*tasks.columns, "body").repartition(*where).sortWithinPartitions(*where).mapInArrow(_linked(threshold), "a long, b long")
+        components = connected_components(components.union(materialize(more, "cross-links")))
 
     of_set = _assign(reps.select("set_key", "id"), components, "id").select("set_key", "comp")
     found = feats.select("id", "set_key", "n").join(of_set, "set_key", "left")
