@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -101,6 +104,17 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_lakeloom_worker_cache", types.ModuleType("_lakeloom_worker_cache")).__dict__
 
 
+def release_memory() -> None:
+    """Hand back to the system what a Python worker's earlier tasks left: garbage in cycles and free pages of Arrow and malloc.
+
+    Functions that travel by value refer to themselves through their globals, so their caches wait for a full collection.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the GNU library alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class KeyFilter:
     """A bitmap of hashed keys, of at most 2^MOST_BITS bits (16 MB), that is broadcast to leave rows out of a later join.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KeyFilter, fresh, materialize, sorted_groups, table
+from .common import KeyFilter, fresh, materialize, release_memory, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
@@ -90,6 +90,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sigs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "set_key", "n", "sig"])
+    release_memory()
 
 
 def signature_keys(sigs: np.ndarray) -> np.ndarray:
@@ -225,6 +226,7 @@ def _linked(threshold: int):
             if found:
                 star = spanning_edges(found)
                 yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in star], pa.int64()), pa.array([e[0] for e in star], pa.int64())], names=["a", "b"])
+        release_memory()
 
     return linked
 
