@@ -9,8 +9,9 @@ FAR_APART symbols (5 standard deviations beyond what a similarity of 0.75 makes
 
 Equal shingle sets collapse first. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
 member of a bucket against the bucket's smallest member; then, in buckets that still span several
-components, the pairs across components only, in blocks of about BLOCK rows a side. The rows of such a pair meet again
-with their texts, in the same blocks; only links come out, never pairs.
+components, the pairs across components only, in blocks of about BLOCK rows (or BLOCK_SHINGLES shingles) a side. The
+bucket's largest component, mostly nearly all of it, is cut into blocks of its own that never meet each other. The rows of
+such a pair meet again with their texts, in the same blocks; only links come out, never pairs.
 
 Defined results: null, empty or white-space texts have no shingles and link with nothing; rows with a null identifier
 link with nothing and stay; rows that share an identifier are one document with several texts, of which one row per
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +35,7 @@ from .graph import connected_components, spanning_edges
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
 WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-FAR_APART, BLOCK = 32, 256
+FAR_APART, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240901))
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -212,19 +213,32 @@ def _with_partner(threshold: int):
     return with_partner
 
 
+def _similar_pairs(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], threshold: int) -> Iterator[tuple[int, int]]:
+    """Of row pairs (rows, rows), those whose sets share threshold percent of their union. No set is empty."""
+    sizes = np.array([len(s) for s in sets])
+    start = np.r_[0, np.cumsum(sizes)[:-1]]
+    words, code = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(words), bool)
+    for left, right in pairs:
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        for a, b in zip(np.unique(left), np.split(right, np.flatnonzero(np.diff(left)) + 1)):
+            own = code[start[a] : start[a] + sizes[a]]
+            marked[own] = True
+            both = np.add.reduceat(marked[code], start, dtype=np.int64)[b]
+            marked[own] = False
+            for y in b[100 * both >= threshold * (sizes[a] + sizes[b] - both)]:
+                yield int(a), int(y)
+
+
 def _linked(threshold: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks' rows again, with texts: spanning edges of the candidate pairs whose full sets are similar."""
         for g in sorted_groups(batches, 3):
             i = g.column(5).to_pylist()
-            sets = [shingle_set(t) for t in g.column(9).cast(pa.binary()).to_pylist()]
-            found: list[tuple[int, int]] = []
-            for a, b in _candidates(g, threshold):
-                for x, y in zip(a.tolist(), b.tolist()):
-                    if jaccard_at_least(sets[x], sets[y], threshold):
-                        found.append((i[x], i[y]))
-            if found:
-                star = spanning_edges(found)
+            sets = [shingle_set(t.as_py()) for t in g.column(9).cast(pa.binary())]
+            star = spanning_edges((i[x], i[y]) for x, y in _similar_pairs(sets, _candidates(g, threshold), threshold))
+            if star:
                 yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in star], pa.int64()), pa.array([e[0] for e in star], pa.int64())], names=["a", "b"])
         release_memory()
 
@@ -261,9 +275,20 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     components = connected_components(links)
 
     placed = _assign(buckets, components, "id")
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(open_keys, "key").join(reps.select("id", "n", "sig"), "id")
-    members = members.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of_key = placed.groupBy("key", "comp").count().groupBy("key")
+    open_keys = of_key.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1").select("key", "largest")
+    members = placed.join(open_keys, "key").withColumn("in_largest", F.expr("comp = largest")).join(reps.select("id", "n", "sig"), "id")
+    members = materialize(members.select("key", "slot", "id", "comp", "in_largest", "n", "sig"), "open-buckets")
+
+    def blocks(which: str) -> Column:
+        n = F.when(F.expr(which), F.col("n"))
+        return F.greatest(F.ceil(F.count(n) / BLOCK), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+
+    members = members.join(members.groupBy("key").agg(blocks("not in_largest").alias("others"), blocks("in_largest").alias("larges")), "key")
+    # blocks 0 to others - 1 meet all blocks; those after them, of the largest component, only the former
+    hashed, meets = F.xxhash64("id"), F.expr("if(in_largest, others, others + larges)")
+    members = members.withColumn("blk", F.when(F.col("in_largest"), F.col("others") + F.pmod(hashed, F.col("larges"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     tasks = members.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "slot", "id", "comp", "n", "sig")
     where = ["key", "bi", "bj"]
     schema = "key long, bi int, bj int, blk int, slot byte, id long, comp long, n long, sig binary"

@@ -296,6 +296,26 @@ def test_pigeonhole():
         assert (x == y).any()
 
 
+def test_minhash_blocks(spark, monkeypatch):
+    """Variants that are similar to their base alone, which isn't their bucket's first: found by blocks of any size."""
+    r = random.Random(5)
+    rows = []
+    for group in range(3):
+        base = ["".join(r.choice("abcdeimnorst") for _ in range(6)) for _ in range(60 + group)]
+        rows += [(100 * group + k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(4, 56)]
+        rows.append((100 * group + 99, " ".join(base)))
+    _, star = shingle_truth(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, shingles in ((4, 1 << 20), (512, 300), (512, 1 << 20)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", shingles)
+        assert {x.doc_id: x.component_id for x in minhash_dedup.near_dups(docs).collect()} == {i: star.get(i, i) for i, _ in rows}
+    sets = [np.unique(np.array([r.randrange(12) for _ in range(8)], np.uint64)) for _ in range(40)]
+    x, y = np.triu_indices(40, 1)
+    got = set(minhash_dedup._similar_pairs(sets, iter([(x[:300], y[:300]), (x[300:], y[300:])]), 75))
+    assert got == {(a, b) for a, b in zip(x.tolist(), y.tolist()) if minhash_dedup.jaccard_at_least(sets[a], sets[b], 75)} and got
+
+
 def test_minhash_on_documents(spark):
     docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     _, star = shingle_truth(docs)
