@@ -1,8 +1,8 @@
 """Licence scans by sentence rules: normalised sentences become identifiers, sequences of identifiers become licences.
 
-A text is cut into sentences at line ends and after sentence marks. A sentence is normalised to lower-case ASCII letters,
-digits, `.` and `+`, one blank between words, and looked up among SENTENCES; those not known are passed over. The known
-ones, in order, form the document's sequence. RULES are tried from first to last: a rule whose identifiers follow each other
+A text is cut into sentences at line ends and after `.`, `!` and `?`, but not in `v. 2.0`. A sentence is normalised to
+lower-case ASCII letters, digits, `.` and `+`, one blank between words, and looked up among SENTENCES; those not known are
+passed over. After `;` and `:` a sentence may end or go on: both readings are looked up. The known ones, in order, form the document's sequence. RULES are tried from first to last: a rule whose identifiers follow each other
 in the sequence names its licence and takes them out of the sequence, wherever they occur. What is left over at the end is
 reported as `unmatched`.
 
@@ -11,6 +11,8 @@ Defined results: null and empty texts have no sentences; rows that repeat are sc
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,23 +81,45 @@ RULES = [
     ("Apache-2.0", ["ApacheRef"]), ("MIT", ["MitRef"]), ("GPL-3.0", ["GplRef3"]), ("GPL-2.0", ["GplRef2"]), ("BSD", ["BsdRef"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]), ("CC-BY-SA", ["CcBySaRef"]), ("CC-BY", ["CcByRef"]),
 ]
-#: Words of which every pattern above has at least one; texts and sentences without any need no look-up.
-TRIGGER = "(?i:licen[sc]e|permi(?:t|ssion)|copyright notice|warrant|as is|liable|redistribut|endorse|mpl was|public domain)"
-MARKS, BREAK, JUNK = r"([.!?;:])[ \t\r\n]+", r"\n+", r"[^A-Za-z0-9.+]+"
+#: Words of which every pattern above has at least one; texts without any need no look-up.
+TRIGGER = r"(?i:licen[sc]e|permi(?:t|ssion)|copyright\W+notice|warrant|as\W+is|liable|redistribut|endorse|mpl\W+was|public\W+domain)"
+JUNK = r"[^A-Za-z0-9.+]+"
+
+
+def normal_text(text: Column) -> Column:
+    """The text's normalised pieces: a carriage return ends a sentence, a line feed is a place where one may end or go on."""
+    out = F.regexp_replace(text, r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"\b([vV]\.)[^A-Za-z0-9.+]+(?=[0-9])", "$1 ")
+    out = F.regexp_replace(out, r"((?<!\b[vV])[.!?]|[.!?](?=[ \t\n]+[^0-9 \t\n]))[ \t\n]+", "$1\r")
+    out = F.regexp_replace(out, r"[;:][ \t\n]+", "\v")
+    out = F.translate(out, "\n\v", "\r\n")
+    out = F.lower(F.regexp_replace(out, r"[^A-Za-z0-9.+\n\r]+", " "))
+    # Each run of blanks, dots and breaks is entered at its start only, so that long runs take linear time.
+    out = F.regexp_replace(out, r"(?<![ .\n\r])[ .\n\r]*\r[ .\n\r]*", "\r")
+    out = F.regexp_replace(out, r"(?<![ .\n])[ .\n]*\n[ .\n]*", "\n")
+    return F.regexp_replace(out, r"^[ .\n\r]+|(?<![ .\n\r])[ .\n\r]+\z", "")
+
+
+def _across(pattern: str) -> str:
+    """A pattern of SENTENCES for the normalised text: its blanks and gaps may hold a line feed, what follows its end may not."""
+    return re.sub(r"\[[^]]*\]|\.\*|\.(?=\{)|[. ]", lambda m: {" ": r"[ \n]", ".*": r"[^\n\r]*", ".": r"[^\r]" if pattern[m.end() : m.end() + 1] == "{" else r"[^\n\r]"}.get(m[0], m[0]), pattern)
+
+
+#: References last: a header that is wrapped after its first words begins like one.
+ACROSS = {name: _across(SENTENCES[name]) for name in sorted(SENTENCES, key=lambda name: name.endswith("Ref"))}
+ANY = rf"(?<![^\n\r])(?:{'|'.join(ACROSS.values())})(?![^\n\r])"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the text's known sentences, in order."""
-    cut = F.filter(F.split(F.regexp_replace(text, MARKS, "$1\n"), BREAK, -1), lambda s: s.rlike(TRIGGER))
 
     def known(s: Column) -> Column:
         out = F.lit(None).cast("string")
-        for name, pattern in reversed(SENTENCES.items()):
-            out = F.when(s.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        for name, pattern in reversed(ACROSS.items()):
+            out = F.when(s.rlike(rf"\A(?:{pattern})\z"), F.lit(name)).otherwise(out)
         return out
 
-    normal = F.transform(cut, lambda s: F.lower(F.regexp_replace(F.regexp_replace(s, JUNK, " "), r"^[ .]+|[ .]+$", "")))
-    ids = F.filter(F.transform(normal, known), lambda x: x.isNotNull())
+    ids = F.transform(F.regexp_extract_all(normal_text(text), F.lit(ANY), F.lit(0)), known)
     return F.when(text.rlike(TRIGGER), ids).otherwise(F.array().cast("array<string>"))
 
 
