@@ -1,8 +1,10 @@
 """Licence scans by sentence rules: normalised sentences become identifiers, sequences of identifiers become licences.
 
-A text is cut into sentences at line ends and after `.`, `!` and `?`, but not in `v. 2.0`. A sentence is normalised to
-lower-case ASCII letters, digits, `.` and `+`, one blank between words, and looked up among SENTENCES; those not known are
-passed over. After `;` and `:` a sentence may end or go on: both readings are looked up. The known ones, in order, form the document's sequence. RULES are tried from first to last: a rule whose identifiers follow each other
+A text is cut into sentences at lines without letters and digits and after `.`, `!` and `?`, but not in `v. 2.0`. A sentence
+is normalised to lower-case ASCII letters, digits, `.` and `+`, one blank between words, and looked up among SENTENCES; those
+not known are passed over. At other line ends (signs, `dnl` or `rem` before the next line's words are left out) and after `;` and
+`:` a sentence may end or go on: both readings are looked up. OP4_SQL is narrower: it always ends a sentence there and after
+`v.`, so it agrees only on texts whose known sentences don't cross such places. The known ones, in order, form the document's sequence. RULES are tried from first to last: a rule whose identifiers follow each other
 in the sequence names its licence and takes them out of the sequence, wherever they occur. What is left over at the end is
 reported as `unmatched`.
 
@@ -89,10 +91,11 @@ JUNK = r"[^A-Za-z0-9.+]+"
 def normal_text(text: Column) -> Column:
     """The text's normalised pieces: a carriage return ends a sentence, a line feed is a place where one may end or go on."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"(?m)^[ \t]*(?:dnl|rem|REM)\b", "")
     out = F.regexp_replace(out, r"\b([vV]\.)[^A-Za-z0-9.+]+(?=[0-9])", "$1 ")
+    out = F.regexp_replace(out, r"\n[^A-Za-z0-9\r]*\n", "\r")
     out = F.regexp_replace(out, r"((?<!\b[vV])[.!?]|[.!?](?=[ \t\n]+[^0-9 \t\n]))[ \t\n]+", "$1\r")
-    out = F.regexp_replace(out, r"[;:][ \t\n]+", "\v")
-    out = F.translate(out, "\n\v", "\r\n")
+    out = F.regexp_replace(out, r"[;:][ \t]+", "\n")
     out = F.lower(F.regexp_replace(out, r"[^A-Za-z0-9.+\n\r]+", " "))
     # Each run of blanks, dots and breaks is entered at its start only, so that long runs take linear time.
     out = F.regexp_replace(out, r"(?<![ .\n\r])[ .\n\r]*\r[ .\n\r]*", "\r")

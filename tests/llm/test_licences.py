@@ -1,5 +1,7 @@
 """Licence sentences in their canonical wording, as authors print it."""
 
+import textwrap
+
 import pytest
 
 from lakeloom.llm import licenses
@@ -70,3 +72,33 @@ def test_notices_across_marks(spark):
     got = scan(spark, [" ".join(WORDING[i] for i in ids) for ids in notices])
     assert [x for _, x in got] == list(notices.values())
     assert scan(spark, ["Note; it is: licensed under the MIT license; really", "This is it. Foo is licensed under the MIT license", "we; have: the MIT", "Roe v. Wade. Licensed under CC BY 4.0."]) == [("<MitRef>", "MIT"), ("", ""), ("", ""), ("<CcByRef>", "CC-BY")]
+
+
+FULL = {
+    ("MitGrant", "MitNotice", "MitAsIs", "MitLiability"): "MIT",
+    ("BsdPermit", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiability"): "BSD-3-Clause",
+    ("BsdPermit", "BsdSource", "BsdBinary", "BsdAsIs"): "BSD-2-Clause",
+    ("IscPermit",): "ISC",
+    ("ApacheUnder", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheLimits"): "Apache-2.0",
+    ("GplRedistribute3", "GplHope", "GplDetails", "GplReceived"): "GPL-3.0-or-later",
+    ("MplTerms", "MplCopy"): "MPL-2.0",
+}
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+
+
+@pytest.mark.parametrize("width", [34, 70, 80])
+@pytest.mark.parametrize("prefix", ["", "    ", "# ", " * ", "// ", "-- ", "dnl ", "REM "])
+def test_wrapped_texts(spark, width, prefix):
+    def wrapped(ids):
+        parts = [APACHE if i == "ApacheUnder" else WORDING[i] for i in ids if i != "ApacheComply"]
+        lines = [line for t in parts for line in [*textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False), ""]]
+        return "\n".join(["Copyright (c) 2020 Foo", *((prefix + line).rstrip() for line in ["", *lines])])
+
+    got = scan(spark, [t for ids in FULL for t in (wrapped(ids), wrapped(ids).replace("\n", "\r\n"))])
+    assert got == [("".join(f"<{i}>" for i in ids), got[2 * k][1]) for k, ids in enumerate(FULL) for _ in (0, 1)]
+    assert [x for _, x in got] == [name for name in FULL.values() for _ in (0, 1)]
+
+
+def test_one_line_references(spark):
+    lines = ["Some heading\nLicensed under the MIT License\nby somebody else", "Released under the\nMIT License\n", "Words\n# SPDX-License-Identifier: MIT\n# Copyright Foo", "This is a list\n\nlicensed under the\n\nMIT license", "Permission is hereby\n\ngranted", "Licensed under CC BY 4.0\nReleased under the MIT License"]
+    assert [x for _, x in scan(spark, lines)] == ["MIT", "MIT", "MIT", "", "", "MIT,CC-BY"]
