@@ -29,7 +29,8 @@ from .common import table
 PAGES, PRACTICE, STEPS, PENALTY = 200, 300, 200, 0.0002
 #: Elements that begin and end blocks; elements whose content is no page text; elements without an end tag.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas head".split())
+TO_END = frozenset("script style textarea title".split())  # without an end tag they run to the page's end; the others don't
+PAIRED = frozenset("noscript template svg iframe object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag that ends an open element of the second set, up to a parent of the third.
 IMPLIED = {
@@ -37,14 +38,30 @@ IMPLIED = {
 }
 TELLING = re.compile(r"cookie|subscri|newsletter|comment|repl(?:y|ies)|share|sign (?:in|up)|log ?in|advert|sponsor|copyright|©|rights reserved|read more|related|privacy|terms|follow us|menu|search|previous|next", re.I).findall
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\b[^>]*>|\Z)|<(/?)({'|'.join(sorted(PAIRED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+def paired_ends(page: str) -> dict[int, int]:
+    """For each element of PAIRED that has an end tag: where its opening tag ends, and where its own end tag does."""
+    ends, started = {}, {}
+    for m in _PAIRS.finditer(page):
+        if not m[2]:
+            continue
+        opened = started.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[3].endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]:
     """A page's leaf blocks: ancestor tags, ancestors' class and id words, text, and characters inside links."""
     out, stack, parts = [], [], []  # stack: (tag, words)
-    at, in_link, linked = 0, False, 0
+    at, in_link, linked, ends = 0, False, 0, None
 
     def close() -> None:
         nonlocal parts, linked
@@ -75,11 +92,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, in
                         del stack[k:]
                         break
             continue
-        if tag in RAW and not (m[3] or "").endswith("/"):
+        if tag in TO_END and not (m[3] or "").endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag != "head":
-                parts.append(" ")
+            parts.append(" ")
+        elif tag in PAIRED and not (m[3] or "").endswith("/"):
+            ends = paired_ends(page) if ends is None else ends
+            at = ends.get(at, at)
+            parts.append(" ")
         elif tag == "br":
             parts.append("\n")
         elif tag == "a":
