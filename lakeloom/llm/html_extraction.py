@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
 A page is cut into leaf blocks, the stretches of text between borders of block elements. Each block has features of its
-ancestors (tags, class and id words) and of its text (length, link share, punctuation, telling words). The field has two labels,
+ancestors (tags, class and id words, whether one is hidden) and of its text (length, link share, punctuation, telling words). The field has two labels,
 content and boilerplate, and learns by gradient ascent on the log-likelihood of labelled pages. These are pages of many
 layouts, written by `practice_pages` with a label for each block, and at most PAGES of the table's own pages that
 mark their article by an <article> or <main> element, which labels their blocks. `labelled` replaces both.
@@ -40,7 +40,21 @@ TELLING = re.compile(r"cookie|subscri|newsletter|comment|repl(?:y|ies)|share|sig
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\b[^>]*>|\Z)|<(/?)({'|'.join(sorted(PAIRED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAYBE_HIDDEN = re.compile("hidden|display", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([^;!]*)", re.I)
+HIDDEN = "[hidden]"  # stands among an element's words, and can't be one of them
+
+
+def hidden(attributes: str) -> bool:
+    """Whether an opening tag's attributes hide its element; words inside other attributes' values don't."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    found = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))  # the first of a name holds
+    display = _DISPLAY.findall(found.get("style", ""))
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or [d.strip().lower() for d in display[-1:]] == ["none"]
 
 
 def paired_ends(page: str) -> dict[int, int]:
@@ -66,7 +80,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, in
     def close() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split()) if parts else ""
-        if text and not any("\0hidden" in s[1] for s in stack):
+        if text:
             out.append((tuple(s[0] for s in stack), tuple(w for s in stack for w in s[1]), text, linked))
         parts, linked = [], 0
 
@@ -119,7 +133,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, in
                         break
             if tag not in VOID:
                 words = tuple(w for g in _NAMES.findall(m[3]) for w in re.findall("[a-z]+", "".join(g).lower()))
-                stack.append((tag, words + (("\0hidden",) if _HIDDEN.search(m[3]) else ())))
+                stack.append((tag, words + ((HIDDEN,) if hidden(m[3]) else ())))
     close()
     return out
 
@@ -224,7 +238,7 @@ def own_labels(blocks: list) -> list[int] | None:
 
 def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list[int]]]:
     """Pages of varied layout with a label for each of their blocks."""
-    r = random.Random(seed)
+    r, hide = random.Random(seed), random.Random(seed + 1)
 
     def prose(least: int, most: int) -> str:
         words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(least, most))]
@@ -233,6 +247,10 @@ def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list
     def many(tag: str, attrs: str, items: list[str], inner: str = "li") -> tuple[str, int]:
         return f"<{tag}{attrs}>" + "".join(f"<{inner}>{x}</{inner}>" for x in items) + f"</{tag}>", len(items)
 
+    def maybe_hidden(element: str, chance: float) -> str:
+        way = hide.choice([" hidden", ' aria-hidden="true"', ' style="display: none"'])
+        return re.sub(r"^<\w+", lambda m: m[0] + way, element) if hide.random() < chance else element
+
     link = lambda: f'<a href="/x">{prose(1, 3)}</a>'
 
     def junk(kind: str) -> tuple[str, int]:
@@ -261,13 +279,13 @@ def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list
 
         def add(kind: str) -> None:
             text, k = junk(kind)
-            parts.append(text)
+            parts.append(maybe_hidden(text, 0.1))
             labels.extend([0] * k)
 
         for kind in r.sample(kinds, r.randint(1, 5)):
             add(kind)
         opening, closing = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>")] * 2 + [("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main" class="post entry body">', "</div>"), ("<div>", "</div>")])
-        parts.append(opening)
+        parts.append(maybe_hidden(opening, 0.02))
         if r.random() < 0.9:
             parts.append(f"<h1>{prose(2, 12)}</h1>")
             labels.append(1)

@@ -39,3 +39,21 @@ def test_pages_reach_the_result(spark):
     rows = [(1, "u", "<html><head><title>t</title><body><nav><a href='/'>Home</a></nav><article><h1>Tea</h1><p>It holds that <math><mi>a</mi></math> is even, as shown.</p></article>")]
     (got,) = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert got.text == "Tea\n\nIt holds that a is even, as shown."
+
+
+def test_hidden_is_an_attribute():
+    seen = ["data-title='The hidden river'", 'aria-label="our hidden valley"', 'class="md hidden lg"', 'class="hidden"', 'style="display:block"', 'style="x-display:none"', 'aria-hidden="false"', "data-hidden=true", 'title="display:none"', "style='display:none; display:flex'", "title='a aria-hidden=true'", "", 'alt="hidden"']
+    gone = ["hidden", 'class="a" hidden', "HIDDEN=''", 'hidden="until-found"', "aria-hidden=true", 'ARIA-HIDDEN = "True"', 'style="color:red; display : none"', "style=display:none", "style='display:none!important'", "id=x hidden/"]
+    assert [html_extraction.hidden(" " + a) for a in seen] == [False] * len(seen) and [html_extraction.hidden(" " + a) for a in gone] == [True] * len(gone)
+
+
+def test_hidden_blocks_reach_the_field(spark):
+    blocks = html_extraction.blocks_of("<article hidden><p>One</p></article><div class='hidden'><p>Two</p></div>")
+    assert [b[2] for b in blocks] == ["One", "Two"]
+    assert [f"class:{html_extraction.HIDDEN}" in f for f in html_extraction.features_of(blocks)] == [True, False]
+    prose = "The river runs through the valley, as it always did. Nobody knows its source."
+    pages = [f'<nav><a href="/">Home</a></nav><article data-title="The hidden river"><h1>Tea</h1><p>{prose}</p></article>', f'<article><h1>Tea</h1><p>{prose}</p></article><div class="modal" aria-hidden="true"><p>Subscribe to us</p></div>']
+    got = html_extraction.extract_text(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert [x.text for x in got] == [f"Tea\n\n{prose}"] * 2
+    field = html_extraction.train(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "html")
+    assert field.weights[field.index[f"class:{html_extraction.HIDDEN}"]] < 0
