@@ -45,13 +45,15 @@ def source_rates(docs: DataFrame, source_col: str, text_col: str, targets: dict[
     rated = sized.join(F.broadcast(whole), how="cross")  # one row of totals
     rate = F.when(F.col("chars") > 0, share * F.col("all_chars") * epochs / F.col("chars")).otherwise(F.lit(float(epochs)))
     rated = rated.select("key", "chars", rate.alias("rate"))
-    # p(k) = p(k-1) * rate / k, from p(0) = exp(-rate); beyond rate + 12 * sqrt(rate) + 30 there is no chance left to speak of.
+    # ln p(k) = ln p(k-1) + ln(rate) - ln(k), from ln p(0) = -rate, since exp(-rate) itself may be 0; beyond rate + 12 * sqrt(rate) + 30 there is no chance left to speak of.
     steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    log_rate = F.when(F.col("rate") > 0, F.log("rate")).otherwise(F.lit(float("-inf")))
+    start = F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.when(1 - acc["c"] < LEAST_TAIL, acc["cdf"]).otherwise(F.concat(acc["cdf"], F.array(acc["c"] + p))).alias("cdf"))
+        log_p = acc["log_p"] + log_rate - F.log(k.cast("double"))
+        p = F.exp(log_p)
+        return F.struct(log_p.alias("log_p"), (acc["c"] + p).alias("c"), F.when(1 - acc["c"] < LEAST_TAIL, acc["cdf"]).otherwise(F.concat(acc["cdf"], F.array(acc["c"] + p))).alias("cdf"))
 
     return rated.withColumn("cdf", F.aggregate(steps, start, step, lambda acc: acc["cdf"]))
 
