@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import types
@@ -40,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, a temporary one, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lakeloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -52,11 +55,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options or {}).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote, once all that reads it is written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -116,33 +128,39 @@ def release_memory() -> None:
 
 
 class KeyFilter:
-    """A bitmap of hashed keys, of at most 2^MOST_BITS bits (16 MB), that is broadcast to leave rows out of a later join.
+    """A bitmap of hashed keys, of at most 2^MOST_BITS bits (16 MB), that is broadcast to part rows ahead of a join.
 
-    It never leaves out a row whose key is among the keys; it lets through 1 in 16 of the others, and more once there are
+    `keep` never leaves out a row whose key is among the keys; it lets through 1 in 16 of the others, and more once there are
     over 8 million keys. So joins behind it stay exact, and shuffle little more than the rows that match.
     """
 
     MOST_BITS = 27
 
     def __init__(self, keys: DataFrame):
-        """keys: one column, a 64-bit hash of the key."""
+        """keys: one column, a 64-bit hash of the key; keys may repeat."""
         (h,) = keys.columns
         self.n_bits = 1 << min(self.MOST_BITS, max(15, (16 * keys.count()).bit_length()))
-        bit = F.pmod(F.col(h), F.lit(self.n_bits)) + 1
-        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-        whole = np.zeros(self.n_bits // 8, np.uint8)
-        for r in rows:
-            at = (r["at"] - 1) * 4096
-            whole[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        self.bits = keys.sparkSession.sparkContext.broadcast(whole)
-
-    def maybe(self, h: Column) -> Column:
-        """Whether the key with this hash may be among the keys."""
-        bits, n_bits = self.bits, self.n_bits
-
-        @F.arrow_udf("boolean")
-        def among(hashes: pa.Array) -> pa.Array:
-            at = np.mod(hashes.to_numpy(zero_copy_only=False), n_bits)
-            return pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
-
-        return among(h)
+        at = self._at(F.col(h))
+        self.bits = materialize(keys.filter(F.col(h).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "filter")
+
+    def _at(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.n_bits)) + 1
+
+    def _marked(self, rows: DataFrame, h: Column, how: str) -> tuple[DataFrame, Column]:
+        page, bits, place = fresh(rows, "page"), fresh(rows, "bits"), fresh(rows, "place")
+        at = self._at(h)
+        marked = rows.withColumns({page: F.bitmap_bucket_number(at), place: F.bitmap_bit_position(at)})
+        marked = marked.join(F.broadcast(self.bits.select(F.col("page").alias(page), F.col("bits").alias(bits))), page, how)  # 4096 rows of 4 KB at most
+        byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.call_function("shiftright", byte, (F.col(place) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return marked, hit
+
+    def keep(self, rows: DataFrame, h: Column) -> DataFrame:
+        """The rows whose key, of hash h, may be among the keys."""
+        marked, hit = self._marked(rows, h, "inner")
+        return marked.filter(hit).select(*rows.columns)
+
+    def drop(self, rows: DataFrame, h: Column) -> DataFrame:
+        """The other rows."""
+        marked, hit = self._marked(rows, h, "left")
+        return marked.filter(~F.coalesce(hit, F.lit(False))).select(*rows.columns)

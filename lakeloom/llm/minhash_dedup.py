@@ -263,8 +263,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def read(ids: DataFrame) -> DataFrame:
         """The texts of these identifiers; others are left out before the join shuffles them."""
-        maybe = KeyFilter(ids.select(F.xxhash64("id").alias("h"))).maybe(F.xxhash64("id"))
-        return texts.filter(maybe).join(ids, "id", "left_semi")
+        return KeyFilter(ids.select(F.xxhash64("id").alias("h"))).keep(texts, F.xxhash64("id")).join(ids, "id", "left_semi")
 
     stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
@@ -312,8 +311,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     gone = found.filter("not kept").select(F.col("k").alias(key)).distinct()
     again = found.filter("kept and k is not null").groupBy("k").count().filter("count > 1").select(F.col("k").alias(key))
     out = gone.unionByName(again)
-    maybe = KeyFilter(out.select(F.xxhash64(key).alias("h"))).maybe(F.xxhash64(key))
-    kept = marked.filter(~maybe).unionByName(marked.filter(maybe).join(out, key, "left_anti"))
+    maybe = KeyFilter(out.select(F.xxhash64(key).alias("h")))
+    kept = maybe.drop(marked, F.xxhash64(key)).unionByName(maybe.keep(marked, F.xxhash64(key)).join(out, key, "left_anti"))
     if again.head(1):
         kept = kept.unionByName(marked.join(again, key, "left_semi").dropDuplicates([key]))
     return kept.select(*docs.columns)

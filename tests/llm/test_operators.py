@@ -229,13 +229,12 @@ def test_embeddings(spark):
     assert not embedding_dedup.near_dups(df.limit(0)).collect()
 
 
-@F.arrow_udf(T.BinaryType())
-def weak(text: pa.Array) -> pa.Array:
+def weak(text):
     """A digest with many collisions."""
-    return pa.array([hashlib.sha256((b or b"").lower()).digest()[:1] for b in text.cast(pa.binary()).to_pylist()], pa.binary())
+    return F.substring(exact_dedup.digest_of(text), 1, 1)
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.digest_bytes, weak])
+@pytest.mark.parametrize("digest", [exact_dedup.digest_of, weak])
 def test_exact_dedup(odd, none, digest):
     groups = collections.defaultdict(list)
     for x in odd.collect():
@@ -243,7 +242,7 @@ def test_exact_dedup(odd, none, digest):
     largest = lambda ids: max((i for i in ids if i is not None), default=None)
     want = collections.Counter((i, largest(ids), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
     got = exact_dedup.exact_dedup(odd, digest=digest).collect()
-    if digest is exact_dedup.digest_bytes:
+    if digest is exact_dedup.digest_of:
         assert collections.Counter((x.doc_id, x.keep_id, x.group_size, x.text_sha256) for x in got) == want
     assert collections.Counter((x.doc_id, x.keep_id, x.group_size) for x in got) == collections.Counter(k[:3] for k in want.elements())
     assert sum(x.kept for x in got) == len(groups) and all(x.doc_id == x.keep_id for x in got if x.kept)
@@ -253,13 +252,38 @@ def test_exact_dedup(odd, none, digest):
 
 
 def test_digest_index(spark, odd):
-    index = exact_dedup.DigestIndex(spark, fanout=2)
-    for _ in range(4):
-        index.flush(odd.select(exact_dedup.digest_bytes("text").alias("digest"), F.col("doc_id").alias("id")))
-    assert len(index.runs) <= 3 and index.compact().agg(F.sum("n_rows")).first()[0] == 4 * odd.count()
+    """Memtables are flushed apart, merged in levels of at most fanout runs, and asked through their filters."""
+    rows = odd.repartition(12).select(exact_dedup.digest_of(F.col("text")).alias("digest"), F.col("doc_id").alias("id"))
+    index = exact_dedup.DigestIndex(spark, fanout=4)
+    for _ in range(2):
+        index.flush(rows)
+    level = index.compact()
+    assert index.rows().select("run").distinct().count() == 24 and [x.select("run").distinct().count() for x in index.levels] == [6, 2, 2, 1]
+    for x in [*index.flushed, *index.levels]:
+        for _, file in x.select("run", "digest", F.input_file_name().alias("file")).toPandas().groupby("file"):
+            found = [(r, bytes(d)) for r, d in zip(file["run"], file["digest"])]
+            assert found == sorted(found)
+    assert level.count() == level.select("digest").distinct().count() and level.agg(F.sum("n_rows")).first()[0] == 2 * odd.count()
     assert {x.id for x in index.lookup([hashlib.sha256(b"one two").digest()]).collect()} == {8, 9}
 
 
+def test_dedup_uses_its_index(spark, odd, monkeypatch):
+    """The main path flushes several memtables, merges them in levels, and reads texts again through the filter alone."""
+    made, asked = [], []
+    compact, keep = exact_dedup.DigestIndex.compact, exact_dedup.KeyFilter.keep
+    monkeypatch.setattr(exact_dedup, "discard", lambda *tables: None)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "compact", lambda self: made.append(self) or compact(self))
+    monkeypatch.setattr(exact_dedup.KeyFilter, "keep", lambda self, rows, h: asked.append((rows.count(), (got := keep(self, rows, h)).count())) or got)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 3900).cast("string")).alias("text")).repartition(9)
+    assert exact_dedup.exact_dedup(docs).filter("kept").count() == 3900
+    (index,) = made
+    assert index.rows().select("run").distinct().count() == 9 and len(index.levels) == 2
+    ((before, after),) = asked
+    assert before == 4000 and 200 <= after < 800
+    monkeypatch.setattr(exact_dedup.KeyFilter, "keep", lambda self, rows, h: rows.limit(0))
+    assert exact_dedup.exact_dedup(odd, digest=lambda text: F.substring(exact_dedup.digest_of(F.left(text, F.lit(0))), 1, 1)).select("keep_id").distinct().count() <= 2  # no bytes, no verdict on collisions
+
+
 def shingle_truth(rows):
     sets = []
     for i, t in rows:
