@@ -86,6 +86,11 @@ def bucket_of_id(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def drawn(seed: str, key: Column, share: float | Column) -> Column:
+    """Whether a row is drawn into a sample of this share of all keys: by 53 bits of a hash, so that tiny shares of huge tables draw too."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") / float(1 << 53) < share
+
+
 def sorted_groups(batches, keys: int):
     """Groups of rows that follow each other with equal values in the first `keys` integer columns, as Arrow tables.
 

@@ -8,21 +8,27 @@ identifier and copy number.
 Target weights: `targets` names the shares of some sources; the others share what is left, in proportion to their
 characters to the power `alpha`. Defined results: null sources are one source; null texts have no characters, and a source
 without characters has the rate `epochs`; rows that repeat an identifier draw alike, a null identifier as the
-text `null`; an empty table gives an empty result.
+text `null`; a document of the columns added keeps its own column, and the added one gets the suffix `_1`; an empty table
+gives an empty result.
 
-The table of rates has a row per source. It is broadcast only if it has at most BROADCAST_SOURCES rows; beyond that it is
-joined by source and salt, so that no source's documents meet in one task.
+A distribution is kept from 12 standard deviations below its mean to 12 (and 30 copies) above it: 24 * sqrt(rate) + 31 chances,
+with their sum to 1 within rounding. The table of rates has a row per source. It is broadcast if its chances are at most
+BROADCAST_CHANCES (16 MB). Beyond that only sources of over 1/HOT_SHARE of all rows are, so fewer than HOT_SHARE rows, with at
+most BROADCAST_CHANCES / HOT_SHARE chances each; all others meet their documents in a shuffle join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, materialize, table
 
 TARGETS, ALPHA, EPOCHS, SEED = {"src0": 0.2}, 0.7, 1.0, "mix-1"
-BROADCAST_SOURCES, SALTS, LEAST_TAIL = 10_000, 64, 1e-12
+BROADCAST_CHANCES, HOT_SHARE = 2_000_000, 1000
 
 
 def uniform(seed: str, id_col: Column) -> Column:
@@ -31,50 +37,56 @@ def uniform(seed: str, id_col: Column) -> Column:
     return (F.conv(word, 16, 10).cast("double") + 0.5) / float(16**13)
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! of a double: exact below 16, Stirling's series beyond, whose error is under 1e-13."""
+    series = k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, F.lit(5.0)))
+    return F.when(k < 16, F.log(F.factorial(k.cast("int")).cast("double"))).otherwise(series)
+
+
 def source_rates(docs: DataFrame, source_col: str, text_col: str, targets: dict[str, float], alpha: float, epochs: float) -> DataFrame:
-    """A row for each source: key, chars, rate, cdf (the chances of at most 0, 1, ... copies, until less than LEAST_TAIL is left)."""
+    """A row for each source: key, chars, rows, rate, least (copies), cdf (the chances of at most least, least + 1, ... copies)."""
     key = F.concat(F.lit("="), F.col(source_col).cast("string"))
-    sizes = docs.groupBy(F.coalesce(key, F.lit("")).alias("key")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars"))
+    sizes = docs.groupBy(F.coalesce(key, F.lit("")).alias("key")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars"), F.count("*").alias("rows"))
     named = F.lit(None).cast("double")
     for source, share in sorted(targets.items()):
         named = F.when(F.col("key") == F.lit("=" + source), F.lit(float(share))).otherwise(named)
-    sized = sizes.withColumns({"named": F.when(F.col("chars") > 0, named), "power": F.pow(F.col("chars").cast("double"), F.lit(alpha))})
+    sized = materialize(sizes.withColumns({"named": F.when(F.col("chars") > 0, named), "power": F.pow(F.col("chars").cast("double"), F.lit(alpha))}), "sources")
     whole = sized.agg(F.sum("chars").alias("all_chars"), F.coalesce(F.sum("named"), F.lit(0.0)).alias("all_named"), F.sum(F.when(F.col("named").isNull(), F.col("power"))).alias("all_power"))
     rest = F.greatest(F.lit(0.0), 1 - F.col("all_named"))
     share = F.coalesce("named", rest * F.col("power") / F.when(F.col("all_power") > 0, F.col("all_power")))
     rated = sized.join(F.broadcast(whole), how="cross")  # one row of totals
     rate = F.when(F.col("chars") > 0, share * F.col("all_chars") * epochs / F.col("chars")).otherwise(F.lit(float(epochs)))
-    rated = rated.select("key", "chars", rate.alias("rate"))
-    # ln p(k) = ln p(k-1) + ln(rate) - ln(k), from ln p(0) = -rate, since exp(-rate) itself may be 0; beyond rate + 12 * sqrt(rate) + 30 there is no chance left to speak of.
-    steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
-    log_rate = F.when(F.col("rate") > 0, F.log("rate")).otherwise(F.lit(float("-inf")))
-    start = F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log_p = acc["log_p"] + log_rate - F.log(k.cast("double"))
-        p = F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), (acc["c"] + p).alias("c"), F.when(1 - acc["c"] < LEAST_TAIL, acc["cdf"]).otherwise(F.concat(acc["cdf"], F.array(acc["c"] + p))).alias("cdf"))
-
-    return rated.withColumn("cdf", F.aggregate(steps, start, step, lambda acc: acc["cdf"]))
+    wide = 12 * F.sqrt("rate")
+    rated = rated.select("key", "chars", "rows", rate.alias("rate")).withColumn("least", F.greatest(F.lit(0), F.floor(F.col("rate") - wide)).cast("long"))
+    chances = rated.withColumn("k", F.explode(F.sequence(F.col("least"), F.ceil(F.col("rate") + wide + 30).cast("long"))))
+    k = F.col("k").cast("double")
+    p = F.when(F.col("rate") > 0, F.exp(k * F.log("rate") - F.col("rate") - log_factorial(k))).otherwise((F.col("k") == 0).cast("double"))
+    upto = F.sum("p").over(W.partitionBy("key").orderBy("k").rowsBetween(W.unboundedPreceding, 0))  # the chances of one source
+    summed = chances.withColumn("p", p).withColumn("cdf", upto)
+    return summed.groupBy("key", "chars", "rows", "rate", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = EPOCHS, seed: str = SEED, copy_col: str = "copy_no", order_col: str = "shuffle_key") -> DataFrame:
     """docs with each row repeated by its count (maybe none), in a global random order; adds copy number (from 1) and order key."""
-    rates = source_rates(docs, source_col, text_col, TARGETS if targets is None else targets, alpha, epochs)
-    key, salt, cdf = fresh(docs, "key"), fresh(docs, "salt"), fresh(docs, "cdf")
-    small = rates.select(F.col("key").alias(key), F.col("cdf").alias(cdf))
+    rates = materialize(source_rates(docs, source_col, text_col, TARGETS if targets is None else targets, alpha, epochs), "rates")
+    key, least, cdf, hot, copy, order = (fresh(docs, stem) for stem in ("key", "least", "cdf", "hot", "copy", "order"))
+    small = rates.select(F.col("key").alias(key), F.col("least").alias(least), F.col("cdf").alias(cdf), "rows")
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    if len(rates.select("key").head(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
-        drawn = keyed.join(F.broadcast(small), key)
+    chances, rows = rates.agg(F.sum(F.size("cdf")), F.sum("rows")).first()
+    if (chances or 0) <= BROADCAST_CHANCES:
+        drawn = keyed.join(F.broadcast(small.drop("rows")), key)
     else:
-        salted = keyed.withColumn(salt, F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(SALTS)).cast("int"))
-        drawn = salted.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt])
+        is_hot = (F.col("rows") > rows // HOT_SHARE) & (F.size(cdf) <= BROADCAST_CHANCES // HOT_SHARE)
+        often, seldom = small.filter(is_hot).drop("rows"), small.filter(~is_hot).drop("rows")
+        flagged = keyed.join(F.broadcast(often.select(key, F.lit(True).alias(hot))), key, "left")
+        drawn = flagged.filter(F.col(hot)).drop(hot).join(F.broadcast(often), key).unionByName(flagged.filter(F.col(hot).isNull()).drop(hot).join(seldom, key))
     draw = uniform(seed, F.col(id_col))
-    copies = F.size(F.filter(F.col(cdf), lambda c: c <= draw))
-    drawn = drawn.filter(F.element_at(F.col(cdf), 1) <= draw).withColumn(copy_col, F.explode(F.sequence(F.lit(1), copies)))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col).cast("string")).cast("binary"))
-    mixed = drawn.withColumn(order_col, order).select(*docs.columns, copy_col, order_col)
-    return mixed.repartition(F.col(order_col)).sortWithinPartitions(order_col)
+    copies = F.col(least) + F.size(F.filter(F.col(cdf), lambda c: c <= draw))
+    drawn = drawn.withColumn(cdf, copies).filter(F.col(cdf) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(cdf).cast("int"))))
+    drawn = drawn.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
+    mixed = drawn.select(*docs.columns, copy, order).repartition(F.col(order)).sortWithinPartitions(order)
+    taken = {c.lower() for c in docs.columns}
+    return mixed.withColumnsRenamed({a: b + "_1" * (b.lower() in taken) for a, b in ((copy, copy_col), (order, order_col))})
 
 
 def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
@@ -92,10 +104,10 @@ WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS chars FROM
 w AS (SELECT *, {" ".join(f"CASE WHEN source = '{k}' AND chars > 0 THEN {v!r}::DOUBLE END" for k, v in TARGETS.items())} AS named, pow(chars::DOUBLE, {ALPHA!r}) AS power FROM s),
 t AS (SELECT sum(chars)::DOUBLE AS all_chars, coalesce(sum(named), 0) AS all_named, sum(power) FILTER (WHERE named IS NULL) AS all_power FROM w),
 r AS (SELECT source, CASE WHEN chars > 0 THEN coalesce(named, greatest(0, 1 - all_named) * power / nullif(all_power, 0)) * all_chars * {EPOCHS!r} / chars ELSE {EPOCHS!r} END AS rate FROM w, t),
-p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, range(0, 400) x(k)),
+p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS k FROM r)),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 d AS (SELECT *, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / {16**13}::DOUBLE AS u FROM documents),
-n AS (SELECT d.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf <= d.u AND 1 - c.cdf >= 1e-11) AS n FROM d)
+n AS (SELECT d.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf <= d.u) AS n FROM d)
 SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy_no FROM n)
 """

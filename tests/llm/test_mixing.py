@@ -2,18 +2,33 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import mixing
 
 
-@pytest.mark.parametrize("rate", [744, 800, 1500])
+@pytest.mark.parametrize("rate", [1, 20, 500, 744, 1000, 100_000])
 def test_high_rates(spark, rate):
-    rows = [(k, "x", "src0") for k in range(400)] + [(1000, "y" * (2000 * rate - 400), "src1")]
+    rows = [(k, "x", "src0") for k in range(400)] + [(1000 + k, "y" * (20 * rate - 4), "src1") for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     (found,) = mixing.source_rates(docs, "source", "text", {"src0": 0.2}, mixing.ALPHA, 1.0).filter("key = '=src0'").collect()
-    assert abs(found.rate - rate) < 1e-6 and abs(found.cdf[-1] - 1) < 1e-9 and (np.diff(found.cdf) >= 0).all()
-    counts = np.array([x["count"] for x in mixing.mix(docs, targets={"src0": 0.2}).filter("source = 'src0'").groupBy("doc_id").count().collect()])
-    assert len(counts) == 400 and abs(counts.mean() - rate) < 5 * (rate / 400) ** 0.5 and 0.6 < counts.var() / rate < 1.5
+    assert abs(found.rate - rate) < 1e-6 and abs(found.cdf[-1] - 1) < 1e-8 and len(found.cdf) < 24 * rate**0.5 + 40 and (np.diff(found.cdf) >= 0).all()
+    u = np.array([x.u for x in docs.filter("source = 'src0'").select(mixing.uniform(mixing.SEED, F.col("doc_id")).alias("u")).collect()])
+    counts = found.least + np.searchsorted(found.cdf, u, side="right")
+    assert abs(counts.mean() - rate) < 5 * (rate / 400) ** 0.5 and 0.6 < counts.var() / rate < 1.5
+    if rate <= 1000:
+        made = mixing.mix(docs, targets={"src0": 0.2}).filter("source = 'src0'").groupBy("doc_id").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+        assert tuple(made) == (counts.sum(), (counts**2).sum())
+
+
+def test_tables_of_rates_too_large_to_broadcast(spark, monkeypatch):
+    """Hot sources are broadcast, the others join by a shuffle; the draw stays the same."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', int(id % 50)) as text", "if(id % 3 = 0, 'big', if(id % 7 = 0, null, concat('s', id % 400))) as source", "7 as copy_no")
+    rows = lambda: sorted(tuple(x) for x in mixing.mix(docs).select("doc_id", "copy_no", "copy_no_1", "shuffle_key").collect())
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_CHANCES", 2000)
+    monkeypatch.setattr(mixing, "HOT_SHARE", 10)
+    assert rows() == want and want and {x[1] for x in want} == {7}
 
 
 def test_rate_of_zero(spark):
