@@ -10,7 +10,7 @@ rows, so that trees see what unseen texts look like. Trees learn on three quarte
 Equal rows teach equal models, to the last digit, however Spark deals the work.
 
 Defined results: null and empty texts are scored by their features, all zero; rows without a label or identifier teach
-nothing; with no rows or one class only to learn from, every score is that class's share (0 with no rows); rows that
+nothing; of rows that share an identifier the largest text teaches; with no rows or one class only to learn from, every score is that class's share (0 with no rows); rows that
 repeat are scored alike; an empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, fresh, materialize, table
+from .common import bucket_of_id, drawn, fresh, materialize, table
 
 TRAIN_ROWS, LEXICON, LEAST_DOCS, BEGINNINGS, NEAR = 16_000, 4_000, 3, (4, 5, 6), 4
 #: Second-person words of English, German, French and Spanish.
@@ -134,10 +134,8 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     teach = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (bucket_of_id(F.col("id"), 5) != 0))
     teach = teach.groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = teach.count()
-    share = min(1.0, TRAIN_ROWS / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1_000_000))
-    teach = teach.filter(draw < int(share * 1_000_000)).limit(2 * TRAIN_ROWS)
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(teach, "id")
+    teach = materialize(teach.filter(drawn("draw", F.col("id"), min(1.0, TRAIN_ROWS / max(n, 1)))), "taught")  # TRAIN_ROWS identifiers, give or take a few hundred
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(teach), "id").groupBy("id", "toxic").agg(F.max("body").alias("body"))
     train = materialize(train.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(4)).cast("int")), "labelled")
     classes = {(r.toxic, r.cal): r.n for r in train.groupBy("toxic", (F.col("part") == 0).alias("cal")).agg(F.count("*").alias("n")).collect()}
     ones, all_rows = sum(v for k, v in classes.items() if k[0] == 1), sum(classes.values())
