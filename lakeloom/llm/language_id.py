@@ -6,11 +6,12 @@ margin is the mean over the text's n-grams of a log-odds weight. Decoding takes
 weighted by how well they were predicted for each language on the training rows (loss-weighted decoding). A text whose two
 best codewords are close is flagged as ambiguous.
 
-Learning: texts and non-null languages of rows whose crc32 of the identifier modulo 3 is not 1, at most about TRAIN_ROWS
-of them, drawn by hash. N-gram counts of languages are summed by Spark, at most 2^HASH_BITS rows a language.
+Learning: texts and non-null languages of rows whose crc32 of the identifier modulo 3 is not 1. The MOST_LANGS languages with
+most rows are learned, from about TRAIN_ROWS rows in all, drawn by hash, as many of each language as there are. N-gram counts
+of languages are summed by Spark, at most 2^HASH_BITS rows a language.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without language or identifier teach
-nothing; with nothing to learn from, all are `und`; with one language to learn, that one; an empty table gives an empty result.
+nothing; rows that repeat are treated alike; with nothing to learn from, all are `und`; with one language to learn, that one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, materialize, table, worker_cache
+from .common import bucket_of_id, drawn, materialize, table, worker_cache
 
-TRAIN_ROWS, HASH_BITS, SMOOTH, SHARPNESS, CLOSE = 12_000, 14, 0.5, 4.0, 0.75
+TRAIN_ROWS, MOST_LANGS, HASH_BITS, SMOOTH, SHARPNESS, CLOSE = 12_000, 200, 14, 0.5, 4.0, 0.75
 
 
 def codewords(k: int) -> np.ndarray:
@@ -112,9 +113,11 @@ def predictor(langs: list[str], weights: np.ndarray, code: np.ndarray, trust: np
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
+    spark = docs.sparkSession
     pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (bucket_of_id(F.col("id"), 3) != 1))
-    share = min(1.0, TRAIN_ROWS / max(1, pool.select("id").count()))
-    train = materialize(pool.filter(F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("body", "lang"), "languages")
+    sizes = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()  # MOST_LANGS rows at most
+    shares = spark.createDataFrame([(r.lang, TRAIN_ROWS / len(sizes) / r.n) for r in sizes], "lang string, share double")
+    train = materialize(pool.join(F.broadcast(shares), "lang").filter(drawn("draw", F.col("id"), F.col("share"))).select("body", "lang"), "languages")
     counted = train.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # 2^HASH_BITS rows a language at most
     langs = sorted(counted["lang"].unique())
     if not langs:
