@@ -4,11 +4,16 @@ A page is cut into leaf blocks, the stretches of text between borders of block e
 ancestors (tags, class and id words, whether one is hidden) and of its text (length, link share, punctuation, telling words). The field has two labels,
 content and boilerplate, and learns by gradient ascent on the log-likelihood of labelled pages. These are pages of many
 layouts, written by `practice_pages` with a label for each block, and at most PAGES of the table's own pages that
-mark their article by an <article> or <main> element, which labels their blocks. `labelled` replaces both.
+mark their article by an <article> or <main> element, which labels their blocks. `labelled` replaces both. What teaches is bounded:
+own pages have under TEACH_CHARS characters, and their first TEACH_BLOCKS blocks count. What is extracted is not.
+Telling words are a feature of short blocks alone, under TELLING_CHARS characters: in prose they tell nothing.
 
 Text: character references decoded, white space inside a block made one blank, blocks joined by two line feeds; scripts, styles
-and other elements without page text never become blocks. Defined results: null and empty pages give empty text; repeated
-rows are treated alike; a null page_id or url stays null; an empty table gives an empty result.
+and other elements without page text never become blocks. A quote that opens an attribute's value and has no partner up to the
+page's end opens none; from there on tags end at the next `>`. A `<` after the last `>` is text. Elements in more than
+DEPTH open ones don't add to their blocks' ancestors. Defined results: null and empty pages give empty text; repeated
+rows are treated alike; a null page_id or url stays null; further columns aren't looked at; pages of any length take linear
+time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drawn, table
 
 PAGES, PRACTICE, STEPS, PENALTY = 200, 300, 200, 0.0002
+TEACH_CHARS, TEACH_BLOCKS, TELLING_CHARS, DEPTH = 50_000, 400, 400, 512
 #: Elements that begin and end blocks; elements whose content is no page text; elements without an end tag.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 TO_END = frozenset("script style textarea title".split())  # without an end tag they run to the page's end; the others don't
@@ -37,8 +44,8 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "nav"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 TELLING = re.compile(r"cookie|subscri|newsletter|comment|repl(?:y|ies)|share|sign (?:in|up)|log ?in|advert|sponsor|copyright|©|rights reserved|read more|related|privacy|terms|follow us|menu|search|previous|next", re.I).findall
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\b[^>]*>|\Z)|<(/?)({'|'.join(sorted(PAIRED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_PART = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAYBE_HIDDEN = re.compile("hidden|display", re.I)
@@ -57,62 +64,106 @@ def hidden(attributes: str) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or [d.strip().lower() for d in display[-1:]] == ["none"]
 
 
-def paired_ends(page: str) -> dict[int, int]:
-    """For each element of PAIRED that has an end tag: where its opening tag ends, and where its own end tag does."""
-    ends, started = {}, {}
-    for m in _PAIRS.finditer(page):
-        if not m[2]:
-            continue
-        opened = started.setdefault(m[2].lower(), [])
-        if not m[1]:
-            if not m[3].endswith("/"):
-                opened.append(m.end())
-        elif opened:
-            ends[opened.pop()] = m.end()
+def tags_of(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of a page's tags in order; comments, declarations and what elements of TO_END hold have no name."""
+    out, at, trusted = [], 0, True
+    last = {mark: page.rfind(mark) for mark in (">", '"', "'", "]]>")}
+
+    def end_of(pos: int) -> int:
+        """Where the tag ends whose attributes begin here."""
+        nonlocal trusted
+        start = pos
+        while trusted:
+            part = _TAG_PART.search(page, pos)
+            if not part or part[1] and part.start(1) >= last[part[1]]:
+                trusted = False
+            elif not part[1]:
+                return part.end()
+            else:
+                pos = page.find(part[1], part.end()) + 1
+        return page.find(">", start) + 1
+
+    while 0 <= (at := page.find("<", at)):
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2) + 3
+            end = end if end > 2 else len(page)
+            out.append((at, end, False, "", ""))
+        elif at > last[">"]:
+            break
+        elif m := _NAME.match(page, at):
+            end, name = end_of(m.end()), m[2].lower()
+            attributes = page[m.end() : end - 1]
+            if name in TO_END and not m[1] and not attributes.endswith("/"):
+                closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, end)
+                end, name = closing.end() if closing else len(page), ""
+            out.append((at, end, bool(m[1]), name, attributes))
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find("]]>", at) + 3 if page.startswith("<![CDATA[", at) and at < last["]]>"] else page.find(">", at) + 1
+            out.append((at, end, False, "", ""))
+        else:
+            end = at + 1
+        at = end
+    return out
+
+
+def paired_ends(tags: list) -> dict[int, int]:
+    """For each tag that opens an element of PAIRED with an end tag: the number of that end tag."""
+    ends, opened = {}, {}
+    for k, (_, _, closes, name, attributes) in enumerate(tags):
+        if name in PAIRED:
+            if closes and opened.get(name):
+                ends[opened[name].pop()] = k
+            elif not closes and not attributes.endswith("/"):
+                opened.setdefault(name, []).append(k)
     return ends
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]:
-    """A page's leaf blocks: ancestor tags, ancestors' class and id words, text, and characters inside links."""
-    out, stack, parts = [], [], []  # stack: (tag, words)
-    at, in_link, linked, ends = 0, False, 0, None
+def blocks_of(page: str) -> list[tuple[str, frozenset[str], frozenset[str], str, int]]:
+    """A page's leaf blocks: tag of the nearest ancestor, all ancestors' tags, their class and id words, text, and characters inside links."""
+    out, stack, parts = [], [], []  # stack: (tag, tags so far, words so far)
+    in_link, linked = False, 0
+    none: frozenset[str] = frozenset()
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append((tuple(s[0] for s in stack), tuple(w for s in stack for w in s[1]), text, linked))
+            out.append((*(stack[-1] if stack else ("", none, none)), text, linked))
         parts, linked = [], 0
 
-    while True:
-        m = _TAG.search(page, at)
-        if (text := page[at : m.start() if m else len(page)]) and text:
+    def read(text: str) -> None:
+        nonlocal linked
+        if text:
             text = entities.unescape(text)
             parts.append(text)
             linked += len(text) * in_link
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    tags = tags_of(page)
+    ends = paired_ends(tags)
+    at = skip = 0
+    deep: Counter = Counter()  # open elements beyond DEPTH
+    for k, (start, end, closes, tag, attributes) in enumerate(tags):
+        if k < skip:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        read(page[at:start])
+        at = end
+        if closes:
             if tag == "a":
                 in_link = False
             elif tag in BLOCKS:
                 close()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                if deep[tag]:
+                    deep[tag] -= 1
+                    continue
+                for j in range(len(stack) - 1, -1, -1):
+                    if stack[j][0] == tag:
+                        del stack[j:]
+                        deep.clear()
                         break
-            continue
-        if tag in TO_END and not (m[3] or "").endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        elif k in ends:
+            skip, at = ends[k] + 1, tags[ends[k]][1]
             parts.append(" ")
-        elif tag in PAIRED and not (m[3] or "").endswith("/"):
-            ends = paired_ends(page) if ends is None else ends
-            at = ends.get(at, at)
+        elif tag in PAIRED:
             parts.append(" ")
         elif tag == "br":
             parts.append("\n")
@@ -121,32 +172,38 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, in
         elif tag in BLOCKS:
             close()
             in_link = in_link and tag not in ("li", "nav", "article", "footer", "section")
-            if any(s[0] == "p" for s in stack[-1:]) and tag not in ("button", "label", "option", "select"):
+            if stack and stack[-1][0] == "p" and tag not in ("button", "label", "option", "select"):
                 stack.pop()
             if tag in IMPLIED:
-                ends, parents = IMPLIED[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in parents:
+                implied, parents = IMPLIED[tag]
+                for j in range(len(stack) - 1, -1, -1):
+                    if stack[j][0] in parents:
                         break
-                    if stack[k][0] in ends:
-                        del stack[k:]
+                    if stack[j][0] in implied:
+                        del stack[j:]
                         break
-            if tag not in VOID:
-                words = tuple(w for g in _NAMES.findall(m[3]) for w in re.findall("[a-z]+", "".join(g).lower()))
-                stack.append((tag, words + ((HIDDEN,) if hidden(m[3]) else ())))
+            if tag not in VOID and len(stack) >= DEPTH:
+                deep[tag] += 1
+            elif tag not in VOID:
+                words = {w for g in _NAMES.findall(attributes) for w in re.findall("[a-z]+", "".join(g).lower())} | ({HIDDEN} if hidden(attributes) else set())
+                _, above, said = stack[-1] if stack else ("", none, none)
+                stack.append((tag, above if tag in above else above | {tag}, said if words <= said else said | words))
+        elif not tag and page.startswith("<", start) and page[start + 1 : start + 2].isalpha():
+            parts.append(" ")  # a script or the like
+    read(page[at:])
     close()
     return out
 
 
 def features_of(blocks: list) -> list[list[str]]:
     """Names of the features that hold for each block."""
-    found, has = [], {t for b in blocks for t in b[0]} & {"article", "main"}
-    for k, (tags, words, text, linked) in enumerate(blocks):
-        f = ["bias", f"leaf:{tags[-1] if tags else ''}", f"size:{min(8, int(math.log2(1 + text.count(' '))))}", f"links:{round(4 * linked / max(1, len(text)))}"]
-        f += {f"in:{t}" for t in tags} | {f"class:{w}" for w in words}
+    found, has = [], {"article", "main"}.intersection(set().union(*{b[1] for b in blocks}))
+    for k, (leaf, tags, words, text, linked) in enumerate(blocks):
+        f = ["bias", f"leaf:{leaf}", f"size:{min(8, int(math.log2(1 + text.count(' '))))}", f"links:{round(4 * linked / max(1, len(text)))}"]
+        f += [f"in:{t}" for t in tags] + [f"class:{w}" for w in words]
         if has:
-            f.append("inside" if has & set(tags) else "outside")
-        f += [f"tells:{w.lower()}" for w in set(TELLING(text)[:20])] if len(text) < 400 else []
+            f.append("inside" if has & tags else "outside")
+        f += [f"tells:{w.lower()}" for w in set(TELLING(text))] if len(text) < TELLING_CHARS else []
         f.append("stop" if text[-1:] in ".!?…" else "open")
         if not k:
             f.append("first")
@@ -231,9 +288,9 @@ BOILERPLATE_TAGS = frozenset("nav aside footer form button menu select option la
 
 def own_labels(blocks: list) -> list[int] | None:
     """Labels of a page that marks its article; None for other pages."""
-    if not any({"article", "main"} & set(b[0]) for b in blocks):
+    if not any({"article", "main"} & b[1] for b in blocks):
         return None
-    return [int(bool({"article", "main"} & set(tags)) and not BOILERPLATE_TAGS & set(tags) and not BOILERPLATE_WORDS & set(words)) for tags, words, _, _ in blocks]
+    return [int(bool({"article", "main"} & tags) and not BOILERPLATE_TAGS & tags and not BOILERPLATE_WORDS & words) for _, tags, words, _, _ in blocks]
 
 
 def practice_pages(n: int = PRACTICE, seed: int = 5) -> Iterator[tuple[str, list[int]]]:
@@ -320,10 +377,11 @@ def train(pages: DataFrame, id_col: str, html_col: str, labelled: list[tuple[str
             raise ValueError(f"a labelled page has {len(blocks)} blocks and {len(labels)} labels")
         taught.append((features_of(blocks), labels))
     if labelled is None:
-        own = pages.filter(F.length(html_col) < 50_000).select(html_col).orderBy(F.xxhash64(F.lit("page"), F.col(id_col))).limit(PAGES)
-        for (page,) in own.collect():  # PAGES rows at most
-            if labels := own_labels(blocks := blocks_of(page or "")):
-                taught.append((features_of(blocks)[:400], labels[:400]))
+        short = pages.filter(F.length(html_col) < TEACH_CHARS).select(id_col, html_col)
+        own = short.filter(drawn("page", F.xxhash64(id_col, html_col), 2 * PAGES / max(1, short.select(id_col).count()))).distinct()
+        for page in sorted(x[1] for x in own.orderBy(F.xxhash64(id_col, html_col)).limit(PAGES).collect()):  # of some 2 * PAGES rows in all
+            if labels := own_labels(blocks := blocks_of(page)):
+                taught.append((features_of(blocks)[:TEACH_BLOCKS], labels[:TEACH_BLOCKS]))
     return Field(taught)
 
 
@@ -333,7 +391,7 @@ def extractor(field: Field):
             texts, sizes = [], []
             for page in batch.column(2).to_pylist():
                 blocks = blocks_of(page or "")
-                text = "\n\n".join(b[2] for b, y in zip(blocks, field.decode(features_of(blocks))) if y)
+                text = "\n\n".join(b[3] for b, y in zip(blocks, field.decode(features_of(blocks))) if y)
                 texts.append(text)
                 sizes.append(len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["id", "url", "text", "n_chars"])

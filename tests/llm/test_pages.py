@@ -1,12 +1,14 @@
 """Pages whose authors leave out end tags, use formulas or write telling words into attributes."""
 
+import time
+
 import pytest
 
 from lakeloom.llm import html_extraction
 
 
 def texts(page):
-    return [b[2] for b in html_extraction.blocks_of(page)]
+    return [b[3] for b in html_extraction.blocks_of(page)]
 
 
 def test_head_without_end_tag():
@@ -49,7 +51,7 @@ def test_hidden_is_an_attribute():
 
 def test_hidden_blocks_reach_the_field(spark):
     blocks = html_extraction.blocks_of("<article hidden><p>One</p></article><div class='hidden'><p>Two</p></div>")
-    assert [b[2] for b in blocks] == ["One", "Two"]
+    assert [b[3] for b in blocks] == ["One", "Two"]
     assert [f"class:{html_extraction.HIDDEN}" in f for f in html_extraction.features_of(blocks)] == [True, False]
     prose = "The river runs through the valley, as it always did. Nobody knows its source."
     pages = [f'<nav><a href="/">Home</a></nav><article data-title="The hidden river"><h1>Tea</h1><p>{prose}</p></article>', f'<article><h1>Tea</h1><p>{prose}</p></article><div class="modal" aria-hidden="true"><p>Subscribe to us</p></div>']
@@ -57,3 +59,33 @@ def test_hidden_blocks_reach_the_field(spark):
     assert [x.text for x in got] == [f"Tea\n\n{prose}"] * 2
     field = html_extraction.train(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "html")
     assert field.weights[field.index[f"class:{html_extraction.HIDDEN}"]] < 0
+
+
+def test_broken_tags():
+    assert texts('<p class="x>Two</p>') == ["Two"] and texts("<p title=it's>One</p><p>Two's</p>") == ["One", "Two's"]
+    assert texts('<p class="a > b" id=\'">\'>One</p>') == ["One"] and texts("<p>1 < 2 and 3 > 2</p><p>a<b") == ["1 < 2 and 3 > 2", "a<b"]
+    assert texts("<p>One<![CDATA[ gone <p> ]]> two</p><!-- <p>gone --><p>Three<!-- gone") == ["One two", "Three"]
+    assert texts("<p>One <! p> two<?x y?></p><![CDATA[ <p>Three") == ["One two", "Three"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a", "<a '", '<a ">" ', "<a x='>' ", "<a x=\"'\" ", "<![CDATA[ >", "<!", "<iframe ", "<svg x='", "<!--", "<p class=x", "<div>x", "<div class=a>x", "<p>x<li>", "<script", "&", "= ", "class "])
+def test_hostile_pages_take_linear_time(piece):
+    """A megabyte of each; repeats of the whole with an end that tags could wait for."""
+    began = time.process_time()
+    for page in (piece * (1_000_000 // len(piece)), piece * (200_000 // len(piece)) + ">", "<p " + piece * (200_000 // len(piece)) + "'\">x"):
+        html_extraction.blocks_of(page)
+    assert time.process_time() - began < 30
+
+
+def test_deep_pages():
+    found = html_extraction.blocks_of("<article>" + "<div><p>x" * 3000 + "</div>" * 3000 + "<p>y</article><p>z")
+    assert [b[3] for b in found] == ["x"] * 3000 + ["y", "z"] and "article" in found[-2][1] and "article" not in found[-1][1]
+
+
+def test_odd_tables(spark):
+    """Empty tables, repeated rows, nulls, and columns named like the operator's own."""
+    schema = "page_id long, url string, html string, id long, text string, n_chars long"
+    assert not html_extraction.extract_text(spark.createDataFrame([], schema)).collect()
+    rows = [(1, "u", "<article><p>One two.</p></article>", 5, "other", 0)] * 2 + [(None, None, None, None, None, None), (2, "u", "", 1, "x", 1)]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted((x.page_id or 0, x.text, x.n_chars) for x in got.collect()) == [(0, "", 0), (1, "One two.", 8), (1, "One two.", 8), (2, "", 0)]
