@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a battery of randomness tests for all other tokens.
 
-Base spans: assigned values, access keys and long hex strings, leftmost and non-overlapping for each kind. All remaining
-runs of token characters (MIN_TOKEN or more, not touching a base span) are candidates of kind `random`. Each
-gets an inferred encoding, hence an alphabet of k symbols, and these tests:
+Base spans: assigned values, access keys and long hex strings, leftmost and non-overlapping for each kind. All other runs
+of 20 or more token characters (TOKEN) that touch no base span are candidates of kind `random`; shorter ones prove too little to be
+tested. A prefix of words before the last part (`ghp_`, `sk_live_`) is left out of the tests. What remains, the body, gets
+an inferred encoding, hence an alphabet of k symbols, and these tests:
 
 - alphabet uniformity: chi-squared, written as the rate of coinciding symbol pairs, once against uniform symbols and once
   against symbols as skewed as written words of that encoding (TEXT_SKEW); the variance depends on the length;
@@ -14,7 +15,8 @@ short tokens, which prove little, neither profit from long ones nor are drowned
 from a histogram of at most BINS bins a band, not from a sort.
 
 Defined results: a null text counts as empty; positions are code points, ends exclusive; rows that repeat are scanned
-alike; an empty table gives an empty result.
+alike; further columns aren't looked at; texts of any length and number of matches take linear time; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -46,22 +48,54 @@ ENCODINGS = [
 #: Sums of squares and cubes of symbol frequencies in written words or numbers, against 1/k and 1/k^2 for uniform ones.
 TEXT_SKEW = {"decimal": (0.16, 0.035), "hex": (0.14, 0.027), "HEX": (0.14, 0.027)}
 WORDS_SKEW = (0.066, 0.0055)
-SPAN = "array<struct<start:int,stop:int>>"
+#: Words before the last part of a token, which alone is random.
+PREFIX = "^(?:[A-Za-z]{2,12}[-_]){1,3}(?=[A-Za-z0-9+/]{16,}$)"
+SPAN = "array<struct<start:int,stop:int,token:string>>"
+FOLD = 256  # matches whose spans are summed up in one list before the lists are joined
+MASK = "\x01"
 
 
-def _spans(text: Column, pattern: str, needed: int = 0) -> Column:
-    """All matches as (start, stop); needed: least length of group 2. The text is cut at the matches, and lengths are summed."""
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _pieces(text: Column, pattern: str, needed: int) -> Column:
+    """The text cut at all matches: (gap, token, kept), where kept says that the match counts; the last piece has no token."""
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if needed else 0))
-    cut = F.transform(F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), group), lambda x: F.struct(F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("size"), F.length(x["2"]).alias("group")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), group)
+    return F.transform(zipped, lambda x: F.struct(F.coalesce(x["0"], F.lit("")).alias("gap"), F.coalesce(x["1"], F.lit("")).alias("token"), F.coalesce(F.length(x["2"]) >= needed, F.lit(False)).alias("kept")))
+
+
+def _spans(text: Column, pattern: str, needed: int = 0) -> Column:
+    """All matches as (start, stop, token); needed: least length of group 2. Lengths are summed in lists of FOLD matches, then over the lists."""
+    step_to = lambda at, x: at + F.length(x["gap"]) + F.length(x["token"])
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + x["size"]
-        hit = F.array(F.struct(a.alias("start"), b.alias("stop")))
-        return F.when(x["size"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.when(x["group"] >= needed, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found")))
+        start, stop = acc["at"] + F.length(x["gap"]), step_to(acc["at"], x)
+        hit = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["token"].alias("token")))
+        return F.struct(stop.alias("at"), F.when(x["kept"], F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+
+    def of_list(pieces: Column, start: Column) -> Column:
+        return F.aggregate(pieces, F.struct(start.alias("at"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc["found"])
+
+    def of_lists(lists: Column) -> Column:
+        widths = F.transform(lists, lambda xs: F.aggregate(xs, F.lit(0), step_to))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(widths, begin, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        return _let(starts, lambda at: F.flatten(F.transform(lists, lambda xs, k: of_list(xs, F.element_at(at, k + 1)))))
+
+    def listed(pieces: Column) -> Column:
+        last = F.floor((F.size(pieces) - 1) / FOLD).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(pieces, k * FOLD + 1, F.lit(FOLD)))
+
+    return F.when(text.rlike(pattern), _let(_let(_pieces(text, pattern, needed), listed), of_lists)).otherwise(F.array().cast(SPAN))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(cut, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+def _masked(text: Column, pattern: str, needed: int, least: int) -> Column:
+    """The text with each counting match of at least that length turned into as many MASK signs."""
+    hide = lambda x: F.concat(x["gap"], F.when(x["kept"] & (F.length(x["token"]) >= least), F.repeat(F.lit(MASK), F.length(x["token"]))).otherwise(x["token"]))
+    return F.array_join(F.transform(_pieces(text, pattern, needed), hide), "")
 
 
 def normal_tail(z: Column) -> Column:
@@ -81,7 +115,7 @@ def _when(name: Column, values: dict) -> Column:
 
 def battery(tokens: DataFrame) -> DataFrame:
     """tokens: has `token`. Adds encoding, n, p_words (as uneven as words?), p_runs, p_serial, p_uniform, p_random."""
-    body = F.regexp_replace("token", "=+$", "")
+    body = F.regexp_replace(F.regexp_replace("token", "=+$", ""), PREFIX, "")
     name = F.lit(None).cast("string")
     for n, pattern, _ in reversed(ENCODINGS):
         name = F.when(F.col("body").rlike(pattern), F.lit(n)).otherwise(name)
@@ -147,15 +181,19 @@ def thresholds(tested: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_assign, n_access, n_hex, n_random, found (kind, start, stop, secret), base_sha256, spans."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    found = texts.withColumns({"assign": _spans(F.col("body"), ASSIGN, 6), "access": F.filter(_spans(F.col("body"), ACCESS), lambda s: s["stop"] - s["start"] >= 20), "hex": _spans(F.col("body"), HEX), "token": _spans(F.col("body"), TOKEN)})
-    named = lambda kind, order: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
+    found = texts.withColumns({"assign": _spans(F.col("body"), ASSIGN, 6), "access": F.filter(_spans(F.col("body"), ACCESS), lambda s: s["stop"] - s["start"] >= 20), "hex": _spans(F.col("body"), HEX)})
+    named = lambda kind, order: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["token"].alias("secret")))
     found = found.withColumn("base", F.array_sort(F.concat(named("assign", 0), named("access", 1), named("hex", 2))))
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    text_of = lambda s: F.substring(F.col("body"), s["start"] + 1, s["stop"] - s["start"])
+    # A run of token characters and masked ones that holds a masked one touches a base span.
+    masked = F.replace(F.col("body"), F.lit(MASK), F.lit(" "))
+    for kind, pattern, needed, least in (("assign", ASSIGN, 6, 0), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 0)):
+        masked = F.when(F.size(kind) > 0, _let(masked, lambda text: _masked(text, pattern, needed, least))).otherwise(masked)  # noqa: B023
+    found = found.withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.replace(F.col("body"), F.lit(MASK), F.lit(" "))))
+    free = F.filter(_spans(F.col("masked"), TOKEN.replace("[", "[" + MASK, 1)), lambda t: ~F.contains(t["token"], F.lit(MASK)))
     found = found.select(
         "id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["stop"].alias("stop"), text_of(s).alias("secret"))).alias("base"),
-        F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("order"), F.lit("random").alias("kind"), s["stop"].alias("stop"), text_of(s).alias("secret"))).alias("free"),
+        "base",
+        F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("order"), F.lit("random").alias("kind"), s["stop"].alias("stop"), s["token"].alias("secret"))).alias("free"),
         F.monotonically_increasing_id().alias("row"),
     )
     found = materialize(found, "spans")  # ids and spans, no texts
