@@ -2,7 +2,7 @@
 
 Base spans: assigned values, access keys and long hex strings, leftmost and non-overlapping for each kind. All other runs
 of 20 or more token characters (TOKEN) that touch no base span are candidates of kind `random`; shorter ones prove too little to be
-tested. A prefix of words before the last part (`ghp_`, `sk_live_`) is left out of the tests. What remains, the body, gets
+tested. A prefix of words (`ghp_`, `sk_live_`) before a last part of 32 or more is left out of the tests. What remains, the body, gets
 an inferred encoding, hence an alphabet of k symbols, and these tests:
 
 - alphabet uniformity: chi-squared, written as the rate of coinciding symbol pairs, once against uniform symbols and once
@@ -48,8 +48,8 @@ ENCODINGS = [
 #: Sums of squares and cubes of symbol frequencies in written words or numbers, against 1/k and 1/k^2 for uniform ones.
 TEXT_SKEW = {"decimal": (0.16, 0.035), "hex": (0.14, 0.027), "HEX": (0.14, 0.027)}
 WORDS_SKEW = (0.066, 0.0055)
-#: Words before the last part of a token, which alone is random.
-PREFIX = "^(?:[A-Za-z]{2,12}[-_]){1,3}(?=[A-Za-z0-9+/]{16,}$)"
+#: Words before the last part of a token, where that is long enough to be judged alone.
+PREFIX = "^(?:[A-Za-z]{2,12}[-_]){1,3}(?=[A-Za-z0-9+/]{32,}$)"
 SPAN = "array<struct<start:int,stop:int,token:string>>"
 FOLD = 256  # matches whose spans are summed up in one list before the lists are joined
 MASK = "\x01"
