@@ -1,15 +1,21 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
-Centroids are fitted on a sample of at most SAMPLE vectors; every vector is then assigned. A pair at or above the
-threshold can lie across a border between two cells, but then both are within sqrt(2 - 2 * threshold) of the plane
-between the two centroids. So each vector is also shown, as a guest, to every earlier cell whose plane
-is that close: no pair is lost, and each is compared in exactly one cell. Cells of many rows are cut into blocks
-of about BLOCK rows that are compared two by two in separate tasks. A block pair returns link counts and a spanning
+Cells are fitted for each label and length of vectors that has over CELL_ROWS rows, on a sample of about SAMPLE vectors in all,
+drawn by a hash; every vector is then assigned. A pair at or above the threshold can lie across a border between two
+cells, but then both are within sqrt(2 - 2 * threshold) of the plane between the two centroids. So each vector is also shown,
+as a guest, to every earlier cell whose plane is that close: no pair is lost, and each is compared in exactly one cell.
+Cells that are still over SPLIT times CELL_ROWS rows are cut again in the same way, guests included, up to LEVELS times: a new sample fits
+centroids for each. A pair counts where, at each level, at least one of the two is at home. What is left in a cell is cut into
+blocks of about BLOCK rows that are compared two by two in separate tasks. A block pair returns link counts and a spanning
 forest, never its pairs. Equal vectors of a label collapse first and count by their number.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without label, link
-with nothing, as do vectors of different lengths; a null vec_id has a null component; rows that share a vec_id are
-one vertex; an empty table gives an empty result.
+with nothing, as do vectors of different lengths; a null vec_id has a null component; rows that share a vec_id
+count links each by its own vector; a vector of a label stands under the smallest vec_id that has it, and
+vectors that stand under the same one are one vertex; further columns aren't looked at; an empty table gives an empty result.
+
+The driver gets some SAMPLE vectors and the sizes of at most SAMPLE / PER_CELL cells to cut, at each level; what is broadcast
+is at most SAMPLE / PER_CELL centroids.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_groups, table
+from .common import drawn, materialize, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
-SAMPLE, CELL_ROWS, PER_CELL, BLOCK, ROUNDS = 20_000, 4_000, 16, 2_000, 8
+SAMPLE, CELL_ROWS, SPLIT, LEVELS, PER_CELL, BLOCK, ROUNDS = 20_000, 4_000, 4, 3, 16, 2_000, 8
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,53 +61,50 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
-def _cells(centroids: dict[int, np.ndarray], threshold: float):
-    """Each row with its home cell, and with every earlier cell whose border is within the greatest distance of a link."""
+def _cells(centroids: dict[int, np.ndarray], threshold: float, level: int):
+    """Each row with its home cell, and with every earlier cell whose border is within the greatest distance of a link. centroids: by group."""
     reach = np.sqrt(2 - 2 * threshold) + 1e-9
-    gaps = {dim: np.linalg.norm(c[:, None] - c[None], axis=2) for dim, c in centroids.items()}
+    gaps = {g: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for g, c in centroids.items()}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lengths = np.array([len(v) // 8 for v in part.column(3).to_pylist()])
-                for dim in np.unique(lengths):
-                    rows = part.take(pa.array(np.flatnonzero(lengths == dim)))
-                    c, gap = centroids.get(dim), gaps.get(dim)
-                    if c is None:  # a length that the sample lacks is a cell of its own
-                        at_row, cell, home = np.arange(rows.num_rows), np.zeros(rows.num_rows, int), np.ones(rows.num_rows, bool)
-                    else:
-                        near = _unit(rows.column(3).to_pylist()) @ c.T
-                        own = near.argmax(axis=1)
-                        best = near[np.arange(len(own)), own]
-                        border = (best[:, None] - near) <= reach * gap[own]
-                        at_row, cell = np.nonzero(border & (np.arange(len(c))[None] <= own[:, None]))
-                        home = cell == own[at_row]
+                groups = part.column(4).to_numpy()
+                for g in np.unique(groups):
+                    rows = part.take(pa.array(np.flatnonzero(groups == g)))
+                    c = centroids[g]
+                    near = _unit(rows.column(3).to_pylist()) @ c.T
+                    own = near.argmax(axis=1)
+                    best = near[np.arange(len(own)), own]
+                    border = (best[:, None] - near) <= reach * gaps[g][own] + 1e-9
+                    at_row, cell = np.nonzero(border & (np.arange(len(c))[None] <= own[:, None]))
                     got = rows.take(pa.array(at_row))
-                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cell.astype(np.int32)), pa.array(home), pa.array(np.full(len(cell), dim, np.int32))], names=["id", "label", "m", "vec", "cell", "home", "dim"])
+                    home = got.column(5).to_numpy() | (cell == own[at_row]).astype(np.int32) << level
+                    yield pa.RecordBatch.from_arrays([*got.columns[:5], pa.array(home, pa.int32()), pa.array(cell.astype(np.int32))], names=["id", "rep", "m", "vec", "group", "home", "cell"])
 
     return cells
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, everywhere: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each pair of blocks: (id, other rows linked, null) and spanning edges (id, 0, smaller id)."""
-        for g in sorted_groups(batches, 5):
-            bi, bj = g.column(3)[0].as_py(), g.column(4)[0].as_py()
-            blk, ids, m, home = (g.column(k).to_numpy() for k in (5, 6, 7, 8))
-            x = _unit(g.column(9).to_pylist())
+        """For each pair of blocks: (id, other rows linked, null) and spanning edges (rep, 0, smaller rep)."""
+        for g in sorted_groups(batches, 3):
+            bi, bj = g.column(1)[0].as_py(), g.column(2)[0].as_py()
+            blk, ids, reps, m, home = (g.column(k).to_numpy() for k in (3, 4, 5, 6, 7))
+            x = _unit(g.column(8).to_pylist())
             left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
             counts, edges = np.zeros(len(ids), np.int64), []
             for at in range(0, len(left), 256):
                 a = left[at : at + 256]
-                ok = (x[a] @ x[right].T >= threshold) & (home[a][:, None] | home[right][None])
+                ok = (x[a] @ x[right].T >= threshold) & ((home[a][:, None] | home[right][None]) == everywhere)
                 if bi == bj:
                     ok &= a[:, None] < right[None]
                 p, q = np.nonzero(ok)
                 p, q = a[p], right[q]
                 np.add.at(counts, p, m[q])
                 np.add.at(counts, q, m[p])
-                edges = spanning_edges([*edges, *zip(ids[p].tolist(), ids[q].tolist())])
+                edges = spanning_edges([*edges, *zip(reps[p].tolist(), reps[q].tolist())])
             some = np.flatnonzero(counts)
             n = len(edges)
             yield pa.RecordBatch.from_arrays(
@@ -116,35 +119,52 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = materialize(rows.mapInArrow(_vectors, "id long, label string, vec binary"), "vectors")
     reps = rows.filter("vec is not null and label is not null").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    reps = materialize(reps, "distinct")
-    found = _links(reps.filter("rep is not null").select(F.col("rep").alias("id"), "label", "m", "vec"), threshold)
+    reps = materialize(reps.withColumn("key", F.monotonically_increasing_id()), "distinct")
+    found = _links(reps.filter("rep is not null").select(F.col("key").alias("id"), "rep", "label", "m", "vec"), threshold)
     links = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("other is not null").select("id", "other"))
-    of_rep = reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(components.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
+    of_rep = reps.join(links.withColumnRenamed("id", "key"), "key", "left").join(components.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
     of_rep = of_rep.select("label", "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp"))
     out = rows.join(of_rep, ["label", "vec"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
+def _fit(rows: DataFrame, large: DataFrame) -> dict[int, np.ndarray]:
+    """Centroids of each large group (group, rows), from a sample of its rows: in proportion to its size, some SAMPLE in all."""
+    total = large.agg(F.sum("rows")).first()[0]
+    sample = rows.join(F.broadcast(large), "group").filter(drawn("cells", F.col("id"), SAMPLE / total)).select("group", "id", "vec", "rows")
+    by_group: dict[int, list[bytes]] = {}
+    sizes = {}
+    for r in sorted(sample.collect()):  # SAMPLE rows, give or take a few hundred
+        by_group.setdefault(r.group, []).append(bytes(r.vec))
+        sizes[r.group] = r.rows
+    return {g: spherical_kmeans(_unit(vs), max(1, min(len(vs) // PER_CELL, round(sizes[g] / CELL_ROWS)))) for g, vs in by_group.items()}
+
+
 def _links(reps: DataFrame, threshold: float) -> DataFrame:
-    n = reps.count()
-    sample = reps.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()  # bounded by SAMPLE rows
-    by_dim: dict[int, list[bytes]] = {}
-    for (v,) in sample:
-        by_dim.setdefault(len(v) // 8, []).append(bytes(v))
-    centroids = {}
-    for dim, vs in by_dim.items():
-        k = max(1, min(len(vs) // PER_CELL, round(n * len(vs) / len(sample) / CELL_ROWS)))
-        centroids[dim] = spherical_kmeans(_unit(vs), k)
-    placed = reps.mapInArrow(_cells(centroids, threshold), "id long, label string, m long, vec binary, cell int, home boolean, dim int")
-    placed = materialize(placed.withColumn("group", F.xxhash64("label", "dim")), "cells")
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows")).select("label", "dim", "cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    tasks = placed.join(sizes, ["label", "dim", "cell"])
+    """Link counts and spanning edges of distinct vectors (id, rep, label, m, vec)."""
+    rows = reps.select("id", "rep", "m", "vec", F.xxhash64("label", F.length("vec")).alias("group"), F.lit(0).alias("home"))
+    schema, everywhere = "id long, rep long, m long, vec binary, group long, home int, cell int", 0
+    for level in range(LEVELS):
+        sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
+        most = F.lit(CELL_ROWS * (SPLIT if level else 1))
+        large = materialize(sizes.filter(F.col("rows") > most).orderBy(F.desc("rows"), "group").limit(SAMPLE // PER_CELL), "large-cells")
+        centroids = {g: c for g, c in (_fit(rows, large) if large.head(1) else {}).items() if len(c) > 1}
+        if not centroids:
+            break
+        cut = rows.sparkSession.createDataFrame([(int(g),) for g in centroids], "group long")  # SAMPLE / PER_CELL rows at most
+        bit = F.lit(1 << level)
+        whole = rows.join(F.broadcast(cut), "group", "left_anti").select(*rows.columns).withColumn("home", F.col("home").bitwiseOR(bit))
+        parted = rows.join(F.broadcast(cut), "group", "left_semi").select(*rows.columns).mapInArrow(_cells(centroids, threshold, level), schema)
+        parted = parted.withColumn("group", F.xxhash64("group", "cell", F.lit(level))).drop("cell")
+        rows, everywhere = materialize(whole.unionByName(parted), "cells"), everywhere | 1 << level
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    tasks = rows.join(sizes, "group")
     tasks = tasks.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("group", "dim", "cell", F.least("blk", "mate").alias("bi"), F.greatest("blk", "mate").alias("bj"), "blk", "id", "m", "home", "vec")
-    keys = ["group", "dim", "cell", "bi", "bj"]
-    return materialize(tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "id long, links long, other long"), "links")
+    keys = ["group", "bi", "bj"]
+    tasks = tasks.select("group", F.least("blk", "mate").alias("bi"), F.greatest("blk", "mate").alias("bj"), "blk", "id", "rep", "m", "home", "vec")
+    return materialize(tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, everywhere), "id long, links long, other long"), "links")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

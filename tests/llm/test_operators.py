@@ -200,32 +200,34 @@ def test_bpe(spark, odd, none):
     assert bpe.tokenize(odd).count() == odd.count() and not bpe.tokenize(none).collect()
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("limits", [{}, {"CELL_ROWS": 40}, {"CELL_ROWS": 6, "SPLIT": 1, "SAMPLE": 160, "PER_CELL": 4}, {"CELL_ROWS": 3, "SPLIT": 1, "LEVELS": 6, "SAMPLE": 100, "PER_CELL": 10}])
+def test_embeddings(spark, monkeypatch, limits):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 8))
     rows = [(k, (centers[k % 12] + rng.normal(size=8) * 0.13).astype(np.float32).tolist(), k % 3) for k in range(400)]
     rows += [(1000 + k, rows[5][1], rows[5][2]) for k in range(300)]
-    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 8, 1), (2003, [1.0] * 7 + [None], 1), (2004, [1.0] * 7 + [float("nan")], 1), (2005, rows[5][1], None), (2006, [1.0, 2.0], 1), (2007, [2.0, 4.0], 1), (None, rows[7][1], rows[7][2])]
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 8, 1), (2003, [1.0] * 7 + [None], 1), (2004, [1.0] * 7 + [float("nan")], 1), (2005, rows[5][1], None), (2006, [1.0, 2.0], 1), (2007, [2.0, 4.0], 1), (None, rows[7][1], rows[7][2]), rows[9], rows[9], (rows[11][0], rows[12][1], rows[12][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
-    links, pairs = collections.Counter(), []
+    links, pairs = [0] * len(good), []  # of each row
     for k, (i, v, lab) in enumerate(good):
-        for j, w, other in good[:k]:
+        for n, (j, w, other) in enumerate(good[:k]):
             if lab == other and len(v) == len(w) and cos(v, w) >= 0.98:
-                links[i] += 1
-                links[j] += 1
+                links[k] += 1
+                links[n] += 1
                 if i is not None and j is not None:
                     pairs.append((i, j))
     star = dict(graph.spanning_edges(pairs))
-    cells, embedding_dedup.CELL_ROWS, block, embedding_dedup.BLOCK = embedding_dedup.CELL_ROWS, 40, embedding_dedup.BLOCK, 30
-    try:
-        got = embedding_dedup.near_dups(df).collect()
-    finally:
-        embedding_dedup.CELL_ROWS, embedding_dedup.BLOCK = cells, block
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    for name, value in limits.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    df = df.selectExpr("*", "'x' as id", "label as home", "0 as `group`", "1 as m").repartition(5)
+    got = embedding_dedup.near_dups(df).collect()
     assert len(got) == len(rows) and len(pairs) > 1000
+    assert collections.Counter((x.vec_id, x.n_links) for x in got if x.n_links) == collections.Counter((g[0], n) for g, n in zip(good, links) if n)
     for x in got:
-        assert x.n_links == links[x.vec_id] and (x.vec_id is None or x.component_id == star.get(x.vec_id, x.vec_id)) and x.kept == (x.vec_id == x.component_id)
+        assert (x.vec_id is None or x.component_id == star.get(x.vec_id, x.vec_id)) and x.kept == (x.vec_id == x.component_id)
     assert not embedding_dedup.near_dups(df.limit(0)).collect()
 
 
@@ -366,3 +368,20 @@ def test_pipeline(spark):
             assert {x.doc_id for x in after} <= {x.doc_id for x in rows} and after
         else:
             assert sorted(x.doc_id for x in after) == sorted(x.doc_id for x in rows)
+
+
+def test_many_cells():
+    """Over a thousand centroids: gaps come from a matrix product, and the assignment shows every pair in one cell."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 6))
+    x[1500:] = x[:1500] + rng.normal(size=(1500, 6)) * 0.05
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centroids = embedding_dedup.spherical_kmeans(unit, 1100, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(range(3000), pa.int64()), pa.array([1] * 3000, pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([7] * 3000, pa.int64()), pa.array([0] * 3000, pa.int32())], names=["id", "rep", "m", "vec", "group", "home"])
+    shown = collections.defaultdict(dict)
+    for part in embedding_dedup._cells({7: centroids}, 0.98, 0)([batch]):
+        for i, home, cell in zip(*(part.column(k).to_pylist() for k in (0, 5, 6))):
+            shown[i][cell] = home
+    for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))):
+        assert sum(shown[a][c] | shown[b][c] for c in shown[a].keys() & shown[b].keys()) == 1
+    assert all(sum(cells.values()) == 1 for cells in shown.values())
