@@ -4,10 +4,11 @@ A document's signature is SYMBOLS minhash values of BITS bits. It is cut into CH
 in fewer than CHUNKS * (ERRORS + 1) symbols have, by the pigeonhole principle, a chunk with at most ERRORS = 1 differing
 symbol; leaving out each symbol of each chunk in turn gives the keys under which such a pair must meet. So all pairs
 within GUARANTEED differing symbols are found, and of those further apart each with the chance that LSH gives
-it: a pair of similarity 0.75 misses all keys once in 160,000 times. Pairs whose signatures differ in over
-FAR_APART symbols (5 standard deviations beyond what a similarity of 0.75 makes likely) aren't read in full.
+it: a pair of similarity 0.75 misses all keys once in 160,000 times. Every pair that meets and whose sets are near enough in size is
+judged by its full sets, or lies within one component already.
 
-Equal shingle sets collapse first. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
+Equal shingle sets collapse first. Keys that HOT_LEAST of about HOT_SAMPLE documents share, some 60,000 keys at most, are hot: their
+rows stay where they are and learn their bucket's smallest member from a broadcast; all others meet by a shuffle. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
 member of a bucket against the bucket's smallest member; then, in buckets that still span several
 components, the pairs across components only, in blocks of about BLOCK rows (or BLOCK_SHINGLES shingles) a side. The
 bucket's largest component, mostly nearly all of it, is cut into blocks of its own that never meet each other. The rows of
@@ -27,15 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import KeyFilter, fresh, materialize, release_memory, sorted_groups, table
+from .common import KeyFilter, drawn, fresh, materialize, release_memory, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
 WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-FAR_APART, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+HOT_SAMPLE, HOT_LEAST = 20_000, 20
 _RNG = np.random.Generator(np.random.PCG64(20240901))
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -142,12 +143,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*(np.array([x]) for x in held[:2]), np.array([held[2]], np.int8), np.array([held[3]]), np.array([True]))
 
 
-@F.arrow_udf(T.IntegerType())
-def differing(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(-1, SYMBOLS) for s in (a, b))
-    return pa.array((x != y).sum(axis=1).astype(np.int32))
-
-
 def jaccard_at_least(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     """Whether threshold percent of two sorted sets' union is shared."""
     if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)) or not len(x):
@@ -178,7 +173,7 @@ def _similar(threshold: int):
 
 
 def _candidates(g: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a bucket's two blocks that lie in different components, are near in size and signature, and share no earlier key."""
+    """Row pairs of a bucket's two blocks that lie in different components, are near in size, and share no earlier key."""
     bi, bj, slot = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(4)[0].as_py()
     blk, comp, n = (g.column(k).to_numpy() for k in (3, 6, 7))
     sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
@@ -191,13 +186,10 @@ def _candidates(g: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.nd
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 65536):
             a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
-            off = sig[a] != sig[b]
-            near = off.sum(axis=1) <= FAR_APART
-            a, b, off = a[near], b[near], off[near].reshape(-1, CHUNKS, WIDTH)
-            if len(a):
-                chunk = (off.sum(axis=2) <= ERRORS).argmax(axis=1)
-                here = chunk * WIDTH + off[np.arange(len(a)), chunk].argmax(axis=1) == slot
-                yield a[here], b[here]
+            off = (sig[a] != sig[b]).reshape(-1, CHUNKS, WIDTH)
+            chunk = (off.sum(axis=2) <= ERRORS).argmax(axis=1)
+            here = chunk * WIDTH + off[np.arange(len(a)), chunk].argmax(axis=1) == slot
+            yield a[here], b[here]
 
 
 def _with_partner(threshold: int):
@@ -250,24 +242,36 @@ def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
     return df.join(components.select(F.col("u").alias(id_col), F.col("v").alias("comp")), id_col, "left").withColumn("comp", F.coalesce("comp", id_col))
 
 
+def _buckets(reps: DataFrame) -> DataFrame:
+    """key, id, slot, center: a row for each key of each signature that other signatures share, with the smallest identifier that has it."""
+    keys_of = lambda sets: sets.select("id", "sig").mapInArrow(_keys, "key long, id long, slot byte")
+    sample = reps.filter(drawn("hot", F.col("id"), min(1.0, HOT_SAMPLE / max(reps.count(), 1))))
+    hot = materialize(keys_of(sample).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST).select("key"), "hot-keys")
+    # broadcast: HOT_SAMPLE * CHUNKS * WIDTH / HOT_LEAST keys at most
+    hot_rows = materialize(keys_of(reps).join(F.broadcast(hot), "key", "left_semi"), "hot-rows")
+    centers = hot_rows.groupBy("key").agg(F.min("id").alias("center"))
+    cold = keys_of(reps).join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "id")
+    met = cold.mapInArrow(_shared, "key long, id long, slot byte, center long")
+    return met.unionByName(hot_rows.join(F.broadcast(centers), "key"))
+
+
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept. threshold: percent of the union that must be shared."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     feats = materialize(texts.mapInArrow(_features, "id long, set_key binary, n long, sig binary"), "features")
     reps = feats.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = materialize(reps, "sets")
-    keyed = reps.select("id", "sig").mapInArrow(_keys, "key long, id long, slot byte").repartition("key").sortWithinPartitions("key", "id")
-    buckets = materialize(keyed.mapInArrow(_shared, "key long, id long, slot byte, center long"), "buckets")
+    buckets = materialize(_buckets(reps), "buckets")
     similar = _similar(threshold)
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
 
     def read(ids: DataFrame) -> DataFrame:
         """The texts of these identifiers; others are left out before the join shuffles them."""
-        return KeyFilter(ids.select(F.xxhash64("id").alias("h"))).keep(texts, F.xxhash64("id")).join(ids, "id", "left_semi")
+        return KeyFilter(ids.select(F.xxhash64("id").alias("h"))).keep(texts.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")), F.xxhash64("id")).join(ids, "id", "left_semi")
 
     stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    stars = materialize(stars.filter(differing("sig_a", "sig_b") <= FAR_APART).select("a", "b").distinct(), "stars")
+    stars = materialize(stars.select("a", "b").distinct(), "stars")
     wanted = materialize(read(materialize(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct(), "star-ids")), "star-texts")
     both = stars.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
     links = materialize(both.filter(similar("body_a", "body_b")).select("a", "b").distinct(), "star-links")

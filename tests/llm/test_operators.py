@@ -342,6 +342,28 @@ def test_minhash_blocks(spark, monkeypatch):
     assert got == {(a, b) for a, b in zip(x.tolist(), y.tolist()) if minhash_dedup.jaccard_at_least(sets[a], sets[b], 75)} and got
 
 
+def test_hot_keys_meet_like_others(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 3, (300, minhash_dedup.SYMBOLS)).astype(np.uint16)
+    by_key = collections.defaultdict(set)
+    for i, keys in enumerate(minhash_dedup.signature_keys(sigs).reshape(300, -1).view(np.int64)):
+        for slot, key in enumerate(keys):
+            by_key[int(key)].add((i, slot))
+    want = sorted((key, i, slot, min(m)[0]) for key, m in by_key.items() if len(m) > 1 for i, slot in m)
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "id long, sig binary").repartition(3)
+    for least in (2, 8, 10**9):
+        monkeypatch.setattr(minhash_dedup, "HOT_LEAST", least)
+        assert sorted((x.key, x.id, x.slot, x.center) for x in minhash_dedup._buckets(reps).collect()) == want
+
+
+def test_minhash_shared_identifiers(spark):
+    """Rows of one identifier, one of them blank, meet others in blocks."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(4, 30)] + [(k, " ") for k in range(4, 30)]
+    got = minhash_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+
+
 def test_minhash_on_documents(spark):
     docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     _, star = shingle_truth(docs)
