@@ -125,7 +125,8 @@ def _lexicons(train: DataFrame) -> list[dict[str, float]]:
         tally = counts.filter(F.col("half").isin(halves)).groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(a) for y, a in ((1, "p"), (0, "q"))))
         odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
         best = tally.withColumn("odds", odds).filter((F.col("p") >= LEAST_DOCS) & (F.col("odds") > 1)).orderBy((F.col("odds") * F.sqrt("p")).desc(), "term").limit(LEXICON)
-        out.append({r.term: r.odds for r in best.select("term", "odds").collect()})  # LEXICON rows at most
+        best = materialize(best.select("term", "odds"), "lexicon")  # cut on an executor, so that the driver gets LEXICON rows at most
+        out.append({r.term: r.odds for r in best.collect()})
     return out
 
 
