@@ -8,8 +8,8 @@ it: a pair of similarity 0.75 misses all keys once in 160,000 times. Every pair
 judged by its full sets, or lies within one component already.
 
 Equal shingle sets collapse first. Keys that HOT_LEAST of about HOT_SAMPLE documents share, some 60,000 keys at most, are hot: their
-rows stay where they are and learn their bucket's smallest member from a broadcast; all others meet by a shuffle. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
-member of a bucket against the bucket's smallest member; then, in buckets that still span several
+rows stay where they are and learn what concerns their bucket from a broadcast; all others meet by a shuffle. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
+member of a bucket against the bucket's smallest member, whose text is repeated, if the bucket is hot, for every SPREAD members or so; then, in buckets that still span several
 components, the pairs across components only, in blocks of about BLOCK rows (or BLOCK_SHINGLES shingles) a side. The
 bucket's largest component, mostly nearly all of it, is cut into blocks of its own that never meet each other. The rows of
 such a pair meet again with their texts, in the same blocks; only links come out, never pairs.
@@ -37,6 +37,7 @@ WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 HOT_SAMPLE, HOT_LEAST = 20_000, 20
+SPREAD = 1000  # members of a hot bucket that meet one copy of its smallest member
 _RNG = np.random.Generator(np.random.PCG64(20240901))
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -243,7 +244,7 @@ def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """key, id, slot, center: a row for each key of each signature that other signatures share, with the smallest identifier that has it."""
+    """key, id, slot, center, hot: a row for each key of each signature that other signatures share, with the smallest identifier that has it."""
     keys_of = lambda sets: sets.select("id", "sig").mapInArrow(_keys, "key long, id long, slot byte")
     sample = reps.filter(drawn("hot", F.col("id"), min(1.0, HOT_SAMPLE / max(reps.count(), 1))))
     hot = materialize(keys_of(sample).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST).select("key"), "hot-keys")
@@ -252,7 +253,28 @@ def _buckets(reps: DataFrame) -> DataFrame:
     centers = hot_rows.groupBy("key").agg(F.min("id").alias("center"))
     cold = keys_of(reps).join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "id")
     met = cold.mapInArrow(_shared, "key long, id long, slot byte, center long")
-    return met.unionByName(hot_rows.join(F.broadcast(centers), "key"))
+    return met.withColumn("hot", F.lit(False)).unionByName(hot_rows.join(F.broadcast(centers), "key").withColumn("hot", F.lit(True)))
+
+
+def _join_keys(rows: DataFrame, of_key: DataFrame) -> DataFrame:
+    """rows joined with one row for each key; both have `hot`. Rows of hot keys stay where they are: of these keys there are some 60,000 at most."""
+    cold = rows.filter("not hot").join(of_key.filter("not hot").drop("hot"), "key")
+    return cold.unionByName(rows.filter("hot").join(F.broadcast(of_key.filter("hot").drop("hot")), "key"))
+
+
+def _with_salts(df: DataFrame, salts: DataFrame) -> DataFrame:
+    """df, with `salts` of the centre in its column a: 1 for those not in the table, which holds one row for each hot bucket at most."""
+    return df.join(F.broadcast(salts), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
+def _salted(stars: DataFrame, salts: DataFrame) -> DataFrame:
+    """stars, with the copy of its centre that each row meets."""
+    return _with_salts(stars, salts).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+
+
+def _copies(centers: DataFrame, salts: DataFrame) -> DataFrame:
+    """centers, a row for each copy that stars meet."""
+    return _with_salts(centers, salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
@@ -269,25 +291,28 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         """The texts of these identifiers; others are left out before the join shuffles them."""
         return KeyFilter(ids.select(F.xxhash64("id").alias("h"))).keep(texts.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")), F.xxhash64("id")).join(ids, "id", "left_semi")
 
-    stars = buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    stars = materialize(stars.select("a", "b").distinct(), "stars")
+    stars = materialize(buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "members")
+    hot = buckets.filter("hot").select(F.col("center").alias("a")).distinct()
+    salts = stars.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).filter("salts > 1")
+    salts = materialize(salts.join(F.broadcast(hot), "a", "left_semi"), "salts")
+    stars = _salted(stars, salts).join(side("b"), "b").join(_copies(side("a"), salts), ["a", "salt"]).filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    stars = materialize(stars.select("a", "b", "salt").distinct(), "stars")
     wanted = materialize(read(materialize(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct(), "star-ids")), "star-texts")
-    both = stars.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
+    both = stars.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(_copies(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), salts), ["a", "salt"])
     links = materialize(both.filter(similar("body_a", "body_b")).select("a", "b").distinct(), "star-links")
     components = connected_components(links)
 
     placed = _assign(buckets, components, "id")
-    of_key = placed.groupBy("key", "comp").count().groupBy("key")
-    open_keys = of_key.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1").select("key", "largest")
-    members = placed.join(open_keys, "key").withColumn("in_largest", F.expr("comp = largest")).join(reps.select("id", "n", "sig"), "id")
-    members = materialize(members.select("key", "slot", "id", "comp", "in_largest", "n", "sig"), "open-buckets")
+    of_key = placed.groupBy("key", "hot", "comp").count().groupBy("key", "hot")
+    open_keys = of_key.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1").select("key", "hot", "largest")
+    members = _join_keys(placed, open_keys).withColumn("in_largest", F.expr("comp = largest")).join(reps.select("id", "n", "sig"), "id")
+    members = materialize(members.select("key", "hot", "slot", "id", "comp", "in_largest", "n", "sig"), "open-buckets")
 
     def blocks(which: str) -> Column:
         n = F.when(F.expr(which), F.col("n"))
         return F.greatest(F.ceil(F.count(n) / BLOCK), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
 
-    members = members.join(members.groupBy("key").agg(blocks("not in_largest").alias("others"), blocks("in_largest").alias("larges")), "key")
+    members = _join_keys(members, members.groupBy("key", "hot").agg(blocks("not in_largest").alias("others"), blocks("in_largest").alias("larges")))
     # blocks 0 to others - 1 meet all blocks; those after them, of the largest component, only the former
     hashed, meets = F.xxhash64("id"), F.expr("if(in_largest, others, others + larges)")
     members = members.withColumn("blk", F.when(F.col("in_largest"), F.col("others") + F.pmod(hashed, F.col("larges"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))

@@ -356,6 +356,25 @@ def test_hot_keys_meet_like_others(spark, monkeypatch):
         assert sorted((x.key, x.id, x.slot, x.center) for x in minhash_dedup._buckets(reps).collect()) == want
 
 
+def test_smallest_members_meet_in_copies(spark, monkeypatch):
+    """Large groups of near copies, all of whose buckets are hot or none: each meets its smallest member, whatever copies there are."""
+    r = random.Random(8)
+    rows = []
+    for group in range(2):
+        base = ["".join(r.choice("abcdeimnorst") for _ in range(6)) for _ in range(80)]
+        rows += [(1000 * group + k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(80)]
+    _, star = shingle_truth(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for spread, least in ((3, 2), (3, 10**9), (1000, 2)):
+        monkeypatch.setattr(minhash_dedup, "SPREAD", spread)
+        monkeypatch.setattr(minhash_dedup, "HOT_LEAST", least)
+        assert {x.doc_id: x.component_id for x in minhash_dedup.near_dups(docs).collect()} == {i: star.get(i, i) for i, _ in rows}
+    stars = spark.createDataFrame([(a, b) for a in (1, 2) for b in range(10, 40)], "a long, b long")
+    salts = spark.createDataFrame([(1, 7)], "a long, salts int")
+    met = minhash_dedup._salted(stars, salts).join(minhash_dedup._copies(stars.select("a").distinct(), salts), ["a", "salt"]).collect()
+    assert sorted((x.a, x.b) for x in met) == [(a, b) for a in (1, 2) for b in range(10, 40)] and {x.salt for x in met if x.a == 1} == set(range(7)) and {x.salt for x in met if x.a == 2} == {0}
+
+
 def test_minhash_shared_identifiers(spark):
     """Rows of one identifier, one of them blank, meet others in blocks."""
     base = [f"w{k}" for k in range(60)]
