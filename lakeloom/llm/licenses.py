@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: A title and a copyright line that run into a licence's first sentence.
+TITLE = r"(?:(?:.{1,40} license )?copyright .{1,200} )?"
 #: Public licence wording, as patterns of whole normalised sentences.
 SENTENCES = {
     "ApacheRef": r"(?:this .{1,60} is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?apache license (?:version )?2.0",
@@ -29,7 +31,7 @@ SENTENCES = {
     "ApacheAsIs": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "ApacheLimits": r"see the license for the specific language governing permissions and limitations under the license",
     "MitRef": r"(?:this .{1,60} is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit license",
-    "MitGrant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*",
+    "MitGrant": TITLE + r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*",
     "MitNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "MitAsIs": r"the software is provided as is without warranty of any kind express or implied.*",
     "MitLiability": r"in no event shall the authors or copyright holders be liable for any claim.*",
@@ -38,11 +40,12 @@ SENTENCES = {
     "GplRedistribute3": r"this .{1,60} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "GplRedistribute2": r"this .{1,60} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "LgplRedistribute": r"this .{1,60} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version .*",
+    "AgplRedistribute": r"this .{1,60} is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "GplHope": r"this .{1,60} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "GplDetails": r"see the gnu (?:lesser )?general public license for more details",
-    "GplReceived": r"you should have received a copy of the gnu (?:lesser )?general public license along with this .*",
+    "GplDetails": r"see the gnu (?:lesser |affero )?general public license for more details",
+    "GplReceived": r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this .*",
     "BsdRef": r"(?:this .{1,60} is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:2 clause |3 clause |new |simplified )?bsd license",
-    "BsdPermit": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "BsdPermit": TITLE + r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BsdSource": r"(?:[1-3a-c.]+ )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BsdBinary": r"(?:[1-3a-c.]+ )?redistributions in binary form must reproduce the above copyright notice.*",
     "BsdEndorse": r"(?:[1-3a-c.]+ )?neither the name of .{1,80} may be used to endorse or promote products derived from this software without specific prior written permission",
@@ -53,13 +56,30 @@ SENTENCES = {
     "CcByRef": r"(?:this .{1,60} is )?licensed under (?:the )?(?:cc by|creative commons attribution)(?: license)?(?: [34].0)?(?: international)?(?: license)?",
     "MplTerms": r"this source code form is subject to the terms of the mozilla public license v. 2.0",
     "MplCopy": r"if a copy of the mpl was not distributed with this file you can obtain one at .*",
-    "IscPermit": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "IscPermit": TITLE + r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "UnlicenseDedicate": r"this is free and unencumbered software released into the public domain",
+    "EplTerms": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v. )?2.0(?: which .*)?",
+    "BoostRef": r"(?:this .{1,60} is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?boost software license version 1.0",
+    "ZlibAsIs": r"this software is provided as is without any express or implied warranty",
+    "ZlibPermit": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "Cc0Dedicate": r"to the extent possible under law .{1,80} dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "Cc0Ref": r"(?:this .{1,60} is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:creative commons )?cc0(?: 1.0)?(?: universal)?(?: license)?",
+    "SpdxApacheMit": r"spdx license identifier (?:apache 2.0 or mit|mit or apache 2.0)",
     "SpdxApache": r"spdx license identifier apache 2.0",
     "SpdxMit": r"spdx license identifier mit",
     "SpdxGpl3": r"spdx license identifier gpl 3.0(?: only| or later|\+)?",
     "SpdxGpl2": r"spdx license identifier gpl 2.0(?: only| or later|\+)?",
     "SpdxBsd3": r"spdx license identifier bsd 3 clause",
+    "SpdxBsd2": r"spdx license identifier bsd 2 clause",
+    "SpdxAgpl3": r"spdx license identifier agpl 3.0(?: only| or later|\+)?",
+    "SpdxLgpl": r"spdx license identifier lgpl (?:2.0|2.1|3.0)(?: only| or later|\+)?",
+    "SpdxMpl2": r"spdx license identifier mpl 2.0",
+    "SpdxEpl2": r"spdx license identifier epl 2.0",
+    "SpdxBoost": r"spdx license identifier bsl 1.0",
+    "SpdxZlib": r"spdx license identifier zlib",
+    "SpdxIsc": r"spdx license identifier isc",
+    "SpdxCc0": r"spdx license identifier cc0 1.0",
+    "SpdxUnlicense": r"spdx license identifier unlicense",
 }
 #: Ordered: full texts and headers before references, longer sequences before their parts.
 RULES = [
@@ -76,15 +96,23 @@ RULES = [
     ("GPL-2.0-or-later", ["GplRedistribute2"]),
     ("LGPL", ["LgplRedistribute", "GplHope", "GplDetails"]),
     ("LGPL", ["LgplRedistribute"]),
+    ("AGPL-3.0-or-later", ["AgplRedistribute", "GplHope", "GplDetails"]),
+    ("AGPL-3.0-or-later", ["AgplRedistribute"]),
+    ("EPL-2.0", ["EplTerms"]),
+    ("Zlib", ["ZlibAsIs", "ZlibPermit"]),
+    ("Zlib", ["ZlibPermit"]),
+    ("CC0-1.0", ["Cc0Dedicate"]),
     ("MPL-2.0", ["MplTerms", "MplCopy"]),
     ("MPL-2.0", ["MplTerms"]),
     ("Unlicense", ["UnlicenseDedicate"]),
+    ("Apache-2.0 OR MIT", ["SpdxApacheMit"]), ("BSD-2-Clause", ["SpdxBsd2"]), ("AGPL-3.0", ["SpdxAgpl3"]), ("LGPL", ["SpdxLgpl"]), ("MPL-2.0", ["SpdxMpl2"]), ("EPL-2.0", ["SpdxEpl2"]),
+    ("BSL-1.0", ["SpdxBoost"]), ("Zlib", ["SpdxZlib"]), ("ISC", ["SpdxIsc"]), ("CC0-1.0", ["SpdxCc0"]), ("Unlicense", ["SpdxUnlicense"]),
     ("Apache-2.0", ["SpdxApache"]), ("MIT", ["SpdxMit"]), ("GPL-3.0", ["SpdxGpl3"]), ("GPL-2.0", ["SpdxGpl2"]), ("BSD-3-Clause", ["SpdxBsd3"]),
-    ("Apache-2.0", ["ApacheRef"]), ("MIT", ["MitRef"]), ("GPL-3.0", ["GplRef3"]), ("GPL-2.0", ["GplRef2"]), ("BSD", ["BsdRef"]),
+    ("Apache-2.0", ["ApacheRef"]), ("MIT", ["MitRef"]), ("GPL-3.0", ["GplRef3"]), ("GPL-2.0", ["GplRef2"]), ("BSD", ["BsdRef"]), ("BSL-1.0", ["BoostRef"]), ("CC0-1.0", ["Cc0Ref"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]), ("CC-BY-SA", ["CcBySaRef"]), ("CC-BY", ["CcByRef"]),
 ]
 #: Words of which every pattern above has at least one; texts without any need no look-up.
-TRIGGER = r"(?i:licen[sc]e|permi(?:t|ssion)|copyright\W+notice|warrant|as\W+is|liable|redistribut|endorse|mpl\W+was|public\W+domain)"
+TRIGGER = r"(?i:licen[sc]e|permi(?:t|ssion)|copyright\W+notice|warrant|as\W+is|liable|redistribut|endorse|mpl\W+was|public\W+domain|cc0)"
 JUNK = r"[^A-Za-z0-9.+]+"
 
 

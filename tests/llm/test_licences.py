@@ -25,6 +25,7 @@ WORDING = {
     "GplRedistribute3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GplRedistribute2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "LgplRedistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AgplRedistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GplHope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "GplDetails": "See the GNU General Public License for more details.",
     "GplReceived": "You should have received a copy of the GNU General Public License along with this program.",
@@ -42,11 +43,28 @@ WORDING = {
     "MplCopy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "IscPermit": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "UnlicenseDedicate": "This is free and unencumbered software released into the public domain.",
+    "EplTerms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BoostRef": "Distributed under the Boost Software License, Version 1.0.",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty.",
+    "ZlibPermit": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Cc0Dedicate": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Cc0Ref": "This work is released under CC0 1.0 Universal.",
+    "SpdxApacheMit": "SPDX-License-Identifier: MIT OR Apache-2.0",
     "SpdxApache": "SPDX-License-Identifier: Apache-2.0",
     "SpdxMit": "SPDX-License-Identifier: MIT",
     "SpdxGpl3": "SPDX-License-Identifier: GPL-3.0-or-later",
     "SpdxGpl2": "SPDX-License-Identifier: GPL-2.0-only",
     "SpdxBsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "SpdxBsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "SpdxAgpl3": "SPDX-License-Identifier: AGPL-3.0-only",
+    "SpdxLgpl": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "SpdxMpl2": "SPDX-License-Identifier: MPL-2.0",
+    "SpdxEpl2": "SPDX-License-Identifier: EPL-2.0",
+    "SpdxBoost": "SPDX-License-Identifier: BSL-1.0",
+    "SpdxZlib": "SPDX-License-Identifier: Zlib",
+    "SpdxIsc": "SPDX-License-Identifier: ISC",
+    "SpdxCc0": "SPDX-License-Identifier: CC0-1.0",
+    "SpdxUnlicense": "SPDX-License-Identifier: Unlicense",
 }
 
 
@@ -82,6 +100,9 @@ FULL = {
     ("ApacheUnder", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheLimits"): "Apache-2.0",
     ("GplRedistribute3", "GplHope", "GplDetails", "GplReceived"): "GPL-3.0-or-later",
     ("MplTerms", "MplCopy"): "MPL-2.0",
+    ("AgplRedistribute", "GplHope", "GplDetails", "GplReceived"): "AGPL-3.0-or-later",
+    ("ZlibAsIs", "ZlibPermit"): "Zlib",
+    ("Cc0Dedicate",): "CC0-1.0",
 }
 APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
 
@@ -102,3 +123,10 @@ def test_wrapped_texts(spark, width, prefix):
 def test_one_line_references(spark):
     lines = ["Some heading\nLicensed under the MIT License\nby somebody else", "Released under the\nMIT License\n", "Words\n# SPDX-License-Identifier: MIT\n# Copyright Foo", "This is a list\n\nlicensed under the\n\nMIT license", "Permission is hereby\n\ngranted", "Licensed under CC BY 4.0\nReleased under the MIT License"]
     assert [x for _, x in scan(spark, lines)] == ["MIT", "MIT", "MIT", "", "", "MIT,CC-BY"]
+
+
+def test_titles_that_run_into_the_licence(spark):
+    titled = {"MitGrant": "MIT License Copyright (c) 2020 Foo", "BsdPermit": "Copyright (c) 2021, The Foo Authors", "IscPermit": "ISC License\nCopyright 2019 Foo"}
+    texts = [f"{title} {' '.join(WORDING[i] for i in next(ids for ids in FULL if ids[0] == first))}" for first, title in titled.items()]
+    assert [x for _, x in scan(spark, texts)] == ["MIT", "BSD-3-Clause", "ISC"]
+    assert scan(spark, ["SPDX-License-Identifier: Apache-2.0 OR MIT\n", "SPDX-License-Identifier: MIT AND Foo"]) == [("<SpdxApacheMit>", "Apache-2.0 OR MIT"), ("", "")]
