@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries and of their SQL for DuckDB."""
 
-from . import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, licenses, minhash_dedup, mixing, secrets, toxicity
+from . import bpe, divergence, embedding_dedup, exact_dedup, html_extraction, language_id, licenses, minhash_dedup, mixing, packing, resampling, secrets, toxicity
 
 from .common import small_batches
 
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "op11_packing": packing.op11_packing,
+    "op12_target_resampling": resampling.op12_target_resampling,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
@@ -25,4 +28,5 @@ ORACLE = {
     "op5_source_mixing": mixing.OP5_SQL,
     "op8_embedding_dedup": embedding_dedup.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
