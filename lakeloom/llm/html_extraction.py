@@ -6,11 +6,12 @@ content and boilerplate, and learns by gradient ascent on the log-likelihood of
 layouts, written by `practice_pages` with a label for each block, and at most PAGES of the table's own pages that
 mark their article by an <article> or <main> element, which labels their blocks. `labelled` replaces both. What teaches is bounded:
 own pages have under TEACH_CHARS characters, and their first TEACH_BLOCKS blocks count. What is extracted is not.
-Telling words are a feature of short blocks alone, under TELLING_CHARS characters: in prose they tell nothing.
+Telling words are a feature where there is one for every TELLING_CHARS characters or so: the odd one in prose tells nothing.
 
 Text: character references decoded, white space inside a block made one blank, blocks joined by two line feeds; scripts, styles
-and other elements without page text never become blocks. A quote that opens an attribute's value and has no partner up to the
-page's end opens none; from there on tags end at the next `>`. A `<` after the last `>` is text. Elements in more than
+and other elements without page text never become blocks; a slash at the end of such a tag doesn't close it, as in HTML. A quote
+that opens an attribute's value and has no partner up to the page's end opens none; from there on tags end at the next `>`. A
+script that no end tag closes because of a comment inside ends at its first end tag. A `<` after the last `>` is text. Elements in more than
 DEPTH open ones don't add to their blocks' ancestors. Defined results: null and empty pages give empty text; repeated
 rows are treated alike; a null page_id or url stays null; further columns aren't looked at; pages of any length take linear
 time; an empty table gives an empty result.
@@ -45,7 +46,12 @@ IMPLIED = {
 }
 TELLING = re.compile(r"cookie|subscri|newsletter|comment|repl(?:y|ies)|share|sign (?:in|up)|log ?in|advert|sponsor|copyright|©|rights reserved|read more|related|privacy|terms|follow us|menu|search|previous|next", re.I).findall
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_TAG_PART = re.compile(r">|=\s*([\"'])")
+#: A tag's rest in its usual form, with a slash at its end; then the parts of any other.
+_PLAIN_TAG = re.compile(r"""(?:\s+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`/]+(?=[\s>])))?+)*+\s*(/?)>""")
+_SPACE, _ATTRIBUTE_NAME, _EQUALS, _UNQUOTED = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_EMPTY_COMMENT, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in TO_END}
+_SCRIPT_PART = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAYBE_HIDDEN = re.compile("hidden|display", re.I)
@@ -64,56 +70,102 @@ def hidden(attributes: str) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or [d.strip().lower() for d in display[-1:]] == ["none"]
 
 
-def tags_of(page: str) -> list[tuple[int, int, bool, str, str]]:
-    """(start, end, whether it closes, name, attributes) of a page's tags in order; comments, declarations and what elements of TO_END hold have no name."""
-    out, at, trusted = [], 0, True
-    last = {mark: page.rfind(mark) for mark in (">", '"', "'", "]]>")}
-
-    def end_of(pos: int) -> int:
-        """Where the tag ends whose attributes begin here."""
-        nonlocal trusted
-        start = pos
-        while trusted:
-            part = _TAG_PART.search(page, pos)
-            if not part or part[1] and part.start(1) >= last[part[1]]:
-                trusted = False
-            elif not part[1]:
-                return part.end()
+class Tokenizer:
+    """A page's tags by the states of HTML's tokenizer: data, attribute names and values, raw text, scripts with comments inside, and comments.
+
+    Where a state would swallow the page's rest, as a quote without a partner does, that state is left out from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.nested = page, True, True
+        self.last = {mark: page.rfind(mark) for mark in (">", '"', "'", "]]>")}
+
+    def tag(self, pos: int) -> tuple[int, bool]:
+        """Where the tag ends whose attributes begin here, and whether a slash of its own, not of a value, closes it."""
+        page = self.page
+        if self.quotes and (m := _PLAIN_TAG.match(page, pos)):
+            return m.end(), bool(m[1])
+        at, start = pos, pos
+        while self.quotes:
+            space = _SPACE.match(page, at)
+            at = space.end()
+            if page.startswith(">", at):
+                return at + 1, space[0].endswith("/")
+            if at >= len(page):
+                self.quotes = False
+                break
+            at = _ATTRIBUTE_NAME.match(page, at).end()
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'"):
+                    if at >= self.last[quote]:
+                        self.quotes = False
+                    at = page.find(quote, at + 1) + 1
+                elif quote != ">":
+                    at = _UNQUOTED.match(page, at).end()
+        end = page.find(">", start) + 1
+        return end, page[end - 2] == "/"
+
+    def comment(self, at: int) -> int:
+        """The end of the comment that opens here: `-->` or `--!>`, or at once `>` or `->`."""
+        m = _EMPTY_COMMENT.match(self.page, at + 4) or _COMMENT_END.search(self.page, at + 4)
+        return m.end() if m else len(self.page)
+
+    def raw(self, name: str, at: int) -> int:
+        """The end of the end tag that closes a raw text element."""
+        if name == "script" and self.nested:
+            hidden = inner = False  # inside <!-- -->; inside a script in there
+            pos = at
+            while m := _SCRIPT_PART.search(self.page, pos):
+                pos = m.end()
+                if m[0] == "<!--":
+                    hidden, pos = True, pos - 2
+                elif m[0] == "-->":
+                    hidden = inner = False
+                elif m[1]:
+                    if not inner:
+                        return self.tag(pos)[0] or len(self.page)
+                    inner = False
+                else:
+                    inner = hidden
+            self.nested = False  # no end that way: the first end tag is one
+        closing = _RAW_END[name].search(self.page, at)
+        return (closing and self.tag(closing.end())[0]) or len(self.page)
+
+    def tags(self) -> list[tuple[int, int, bool, str, str, bool]]:
+        """(start, end, whether it closes, name, attributes, slash) in order; comments, declarations and what elements of TO_END hold have no name."""
+        out, at, page = [], 0, self.page
+        while 0 <= (at := page.find("<", at)):
+            if page.startswith("<!--", at):
+                end = self.comment(at)
+                out.append((at, end, False, "", "", False))
+            elif at > self.last[">"]:
+                break
+            elif m := _NAME.match(page, at):
+                end, slash = self.tag(m.end())
+                name = m[2].lower()
+                attributes = page[m.end() : end - 1 - slash]
+                if name in TO_END and not m[1]:  # a slash closes foreign elements alone
+                    end, name = self.raw(name, end), ""
+                out.append((at, end, bool(m[1]), name, attributes, slash))
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find("]]>", at) + 3 if page.startswith("<![CDATA[", at) and at < self.last["]]>"] else page.find(">", at) + 1
+                out.append((at, end, False, "", "", False))
             else:
-                pos = page.find(part[1], part.end()) + 1
-        return page.find(">", start) + 1
-
-    while 0 <= (at := page.find("<", at)):
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 2) + 3
-            end = end if end > 2 else len(page)
-            out.append((at, end, False, "", ""))
-        elif at > last[">"]:
-            break
-        elif m := _NAME.match(page, at):
-            end, name = end_of(m.end()), m[2].lower()
-            attributes = page[m.end() : end - 1]
-            if name in TO_END and not m[1] and not attributes.endswith("/"):
-                closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, end)
-                end, name = closing.end() if closing else len(page), ""
-            out.append((at, end, bool(m[1]), name, attributes))
-        elif page[at + 1 : at + 2] in ("!", "?"):
-            end = page.find("]]>", at) + 3 if page.startswith("<![CDATA[", at) and at < last["]]>"] else page.find(">", at) + 1
-            out.append((at, end, False, "", ""))
-        else:
-            end = at + 1
-        at = end
-    return out
+                end = at + 1
+            at = end
+        return out
 
 
 def paired_ends(tags: list) -> dict[int, int]:
-    """For each tag that opens an element of PAIRED with an end tag: the number of that end tag."""
+    """For each tag that opens an element of PAIRED with an end tag: the number of that end tag. Of these, svg alone is closed by a slash."""
     ends, opened = {}, {}
-    for k, (_, _, closes, name, attributes) in enumerate(tags):
+    for k, (_, _, closes, name, _, slash) in enumerate(tags):
         if name in PAIRED:
             if closes and opened.get(name):
                 ends[opened[name].pop()] = k
-            elif not closes and not attributes.endswith("/"):
+            elif not closes and not (slash and name == "svg"):
                 opened.setdefault(name, []).append(k)
     return ends
 
@@ -138,11 +190,11 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], frozenset[str], str,
             parts.append(text)
             linked += len(text) * in_link
 
-    tags = tags_of(page)
+    tags = Tokenizer(page).tags()
     ends = paired_ends(tags)
     at = skip = 0
     deep: Counter = Counter()  # open elements beyond DEPTH
-    for k, (start, end, closes, tag, attributes) in enumerate(tags):
+    for k, (start, end, closes, tag, attributes, _) in enumerate(tags):
         if k < skip:
             continue
         read(page[at:start])
@@ -203,7 +255,8 @@ def features_of(blocks: list) -> list[list[str]]:
         f += [f"in:{t}" for t in tags] + [f"class:{w}" for w in words]
         if has:
             f.append("inside" if has & tags else "outside")
-        f += [f"tells:{w.lower()}" for w in set(TELLING(text))] if len(text) < TELLING_CHARS else []
+        told = TELLING(text)
+        f += [f"tells:{w}" for w in {w.lower() for w in told}] if len(told) * TELLING_CHARS > len(text) else []
         f.append("stop" if text[-1:] in ".!?…" else "open")
         if not k:
             f.append("first")

@@ -61,6 +61,39 @@ def test_hidden_blocks_reach_the_field(spark):
     assert field.weights[field.index[f"class:{html_extraction.HIDDEN}"]] < 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>a</p><script src="a.js"/>window.x = 1; load(all);</script><p>b', ["a", "b"]),
+        ("<p>a</p><style media=all/>p {..}</style><p>b", ["a", "b"]),
+        ("<script async src=https://cdn.example/x/>track(1);</script><p>b", ["b"]),
+        ("<p>a</p><textarea/>gone</textarea><p>b", ["a", "b"]),
+        ("<p>a<iframe src=x/>gone</iframe>b<p>c", ["a b", "c"]),
+        ("<p>a<svg/>b<svg class=a/>gone</svg>c", ["a b c"]),
+        ("<p>a<!-- x --!>b</p><p>c</p>", ["ab", "c"]),
+        ("<p>a<!-->b<!--->c<!---->d<!----!>e<!-- -- > -->f</p>", ["abcdef"]),
+        ('<script><!-- document.write("<script>x</script>"); --></script><p>b', ["b"]),
+        ("<script><!-- x <script> </script><p>b", ["b"]),
+        ("<script>if (a<!--b) {}</script><p>b<script><!-- <script></script><p>c", ["b", "c"]),
+        ("<SCRIPT>'</scripts>'</ScRiPt\n a='>'><p>b", ["b"]),
+        ("<style>x</style/><p>b", ["b"]),
+        ("<p>x <a href=http://e.x/y/>link</a> z", ["x link z"]),
+        ('<p title=a"b>x</p><p a=b"c>d" e>f', ["x", 'd" e>f']),
+        ("<p a = \"x>y\" b>z<p a=''b=\"c>\">w", ["z", "w"]),
+    ],
+)
+def test_tokenizer_states(page, want):
+    """Raw text, values and comments end where HTML says that they do."""
+    assert texts(page) == want
+
+
+def test_scripts_with_slashes_reach_no_result(spark):
+    script = '<script src="a.js"/>window.x = 1; load(all);</script><style media=all/>p {..}</style><script async src=https://cdn.example/x/>track(1);</script>'
+    rows = [(1, "u", f"<body>{script}<article><h1>Tea</h1>{script}<p>The river runs<!-- x --!> through the valley, as it always did.</p>{script}</article>")]
+    (got,) = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert got.text == "Tea\n\nThe river runs through the valley, as it always did."
+
+
 def test_broken_tags():
     assert texts('<p class="x>Two</p>') == ["Two"] and texts("<p title=it's>One</p><p>Two's</p>") == ["One", "Two's"]
     assert texts('<p class="a > b" id=\'">\'>One</p>') == ["One"] and texts("<p>1 < 2 and 3 > 2</p><p>a<b") == ["1 < 2 and 3 > 2", "a<b"]
@@ -68,7 +101,7 @@ def test_broken_tags():
     assert texts("<p>One <! p> two<?x y?></p><![CDATA[ <p>Three") == ["One two", "Three"]
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<a", "<a '", '<a ">" ', "<a x='>' ", "<a x=\"'\" ", "<![CDATA[ >", "<!", "<iframe ", "<svg x='", "<!--", "<p class=x", "<div>x", "<div class=a>x", "<p>x<li>", "<script", "&", "= ", "class "])
+@pytest.mark.parametrize("piece", ["<a ", "<a", "<a '", '<a ">" ', "<a x='>' ", "<a x=\"'\" ", "<![CDATA[ >", "<!", "<iframe ", "<svg x='", "<!--", "<p class=x", "<div>x", "<div class=a>x", "<p>x<li>", "<script", "&", "= ", "class ", "<script><!--<script></script>", "<script><!--", "<!--!>", "<!-- --", "<p a=/", "<p a='b'/ ", "<p =", '<p "x>', "<title>", "</script", "<p a=b/>"])
 def test_hostile_pages_take_linear_time(piece):
     """A megabyte of each; repeats of the whole with an end that tags could wait for."""
     began = time.process_time()
