@@ -1,0 +1,135 @@
+"""Packing against the tokenizers library: every id in one piece, full windows, little padding; odd and empty tables."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from lakeloom.llm import packing
+from lakeloom.llm.queries import QUERIES
+
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, start long, sequence_id string, length boolean, Offset int"
+
+
+def truth(texts):
+    library = Tokenizer.from_file(packing.default_vocabulary())
+    return [np.array([*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID], "<u4") for t in texts]
+
+
+def check(pieces, docs, top=1024):
+    """docs: {identifier: its ids}. Returns the share of padding."""
+    cover, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for x in pieces:
+        own = docs[x.doc_id]
+        assert x.doc_tokens == len(own) and x.length > 0 and zlib.crc32(own[x.start : x.start + x.length].tobytes()) == x.ids_crc32
+        cover[x.doc_id].append((x.start, x.length))
+        sequences[x.sequence_id].append((x.offset, x.length, x.window, x.step_id))
+    assert cover.keys() == docs.keys()
+    for parts, whole in ((cover[i], len(docs[i])) for i in docs):
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == whole
+    padding = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length, window, step in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= top and len({p[2:] for p in parts}) == 1 and (at == parts[0][2] or parts[0][2] == top)
+        padding += parts[0][2] - at
+    return padding / sum(map(len, docs.values()))
+
+
+def test_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    docs = dict(zip([x.doc_id for x in rows], truth([x.text for x in rows])))
+    pieces = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert check(pieces, docs) < 0.02
+    assert all(np.array_equal(x.ids, docs[x.doc_id][x.start : x.start + x.length]) for x in pieces)
+    got = QUERIES["op11_packing"](spark, SF)
+    assert "ids" not in got.columns and got.count() == len(pieces)
+    loads = collections.Counter()
+    for step, window in {x.sequence_id: (x.step_id, x.window) for x in pieces if x.sequence_id < 1 << 62}.values():
+        loads[step] += window
+    assert max(loads.values()) - min(loads.values()) <= 1024 and max(loads.values()) <= packing.STEP_TOKENS + 1024
+
+
+def test_odd_documents(spark):
+    texts = [None, "", " \n\t", "word " * 30_000, "x" * 5000, "Ärger\x85 \x1c\x1d　x", "<|endoftext|>a<|endoftext|>", "one two", "one two", "日本語" * 300, "'s 'll ''s n't"]
+    rows = [(k, t, 5, "s", True, 1) for k, t in enumerate(texts)]
+    docs = dict(enumerate(truth(texts)))
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert check(got.collect(), docs) < 0.2 and got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_id", "ids"]
+    twice = packing.pack(spark.createDataFrame([*rows[7:9], rows[7], (None, "one two", 5, "s", True, 1)], SCHEMA)).collect()
+    assert sum(x.length for x in twice) == 4 * len(docs[7]) and sum(x.length for x in twice if x.doc_id is None) == len(docs[7])
+    assert not packing.pack(spark.createDataFrame([], SCHEMA)).collect()
+
+
+def test_rests_of_many_tasks_meet(spark):
+    """Each task leaves less than its shortest window; these rests fill windows together."""
+    texts = [f"a few words {k}" for k in range(600)]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)).collect()
+    docs = dict(enumerate(truth(texts)))
+    assert check(pieces, docs) * sum(map(len, docs.values())) < 1024 + 60
+    by = collections.Counter(x.sequence_id for x in pieces if x.sequence_id >= 1 << 62)
+    assert 0 < len(by) < 10
+
+
+@pytest.mark.parametrize("tiers", [(1024, 512, 256, 128), (64, 16), (32,)])
+def test_windows_are_full(tiers):
+    r = random.Random(len(tiers))
+    packer = packing.Packer(tiers, 256)
+    lengths = [r.choice([1, 2, 7, 31, 33, 100, 513, 700, 1024, 3000, r.randrange(1, 200)]) for _ in range(700)]
+    seen, cuts, windows = collections.defaultdict(list), 0, 0
+    for k, n in enumerate(lengths):
+        packer.add(k, np.full(n, k, "<u4").tobytes())
+        if k % 100 == 99:
+            packer.pack(last=k == 699)
+            for _, size, items in packer.steps():
+                assert size in tiers and sum(len(i[2]) // 4 for i in items) == size
+                windows += 1
+                for id_, start, ids, of in items:
+                    seen[id_].append((start, len(ids) // 4))
+                    assert of == lengths[id_]
+    rest = packer.rest()
+    assert sum(len(i[2]) // 4 for i in rest) < tiers[-1]
+    for id_, start, ids, _ in rest:
+        seen[id_].append((start, len(ids) // 4))
+    for k, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(seen[k]):
+            assert start == at
+            at += length
+        assert at == n
+        cuts += len(seen[k]) - -(-n // tiers[0])
+    assert cuts <= windows
+
+
+def test_best_fit():
+    r = random.Random(3)
+    lengths = [r.randrange(1, 128) for _ in range(500)]
+    bins = packing.best_fit(lengths, 1024)
+    assert sorted(k for b in bins for k in b) == list(range(500)) and all(sum(lengths[k] for k in b) <= 1024 for b in bins) and len(bins) <= -(-sum(lengths) // 1024) + 1
+    assert packing.best_fit([], 9) == [] and packing.best_fit([9, 9], 9) == [[0], [1]]
+
+
+def test_every_sign_is_classed_as_the_library_does(monkeypatch):
+    """Each code point of the planes that hold letters between letters, digits, blanks and signs; few kept words; cuts in long texts."""
+    library = Tokenizer.from_file(packing.default_vocabulary())
+    coder = packing.WordEncoder(library.to_str(), packing.library_classes())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x20000 or c % 53 == 0)]
+    texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}. {chr(c)}" for c in points]
+    wrong = [hex(c) for c, t, e in zip(points, texts, library.encode_batch_fast(texts, add_special_tokens=False)) if np.frombuffer(coder.encode(t), "<u4").tolist() != e.ids]
+    assert not wrong
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    monkeypatch.setattr(packing, "CUT_CHARS", 50)
+    r = random.Random(9)
+    for _ in range(200):
+        t = "".join(r.choice(["the ", "a", "b ", " ", "\n", "'s", "9", "é", "!", "<|endoftext|>"]) for _ in range(300))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids

@@ -1,0 +1,99 @@
+"""Target resampling against plain Python and zlib's CRC; odd and empty tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lakeloom.llm import resampling
+from lakeloom.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, score double, rank long, words int, weight string"
+
+
+def buckets(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return len(words), [zlib.crc32(" ".join(words[k : k + n]).encode()) % 10_000 for n in (1, 2, 3) for k in range(len(words) - n + 1)]
+
+
+def brute(docs, target):
+    """(id, features, weight, score, rank) of each row."""
+    found = [buckets(t) for _, t in docs]
+    s, t = np.zeros(10_000, int), np.zeros(10_000, int)
+    for _, b in found:
+        np.add.at(s, b, 1)
+    for text in target:
+        np.add.at(t, buckets(text)[1], 1)
+    all_s, all_t = int(s.sum()), int(t.sum())
+    gain = [math.floor(1000 * math.log((y + 1) * (all_s + 10_000) / ((x + 1) * (all_t + 10_000)))) for x, y in zip(s.tolist(), t.tolist())]
+    rows = []
+    for (i, _), (words, b) in zip(docs, found):
+        h = int(hashlib.sha256(f"42:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[x] for x in b)
+        rows.append([i, len(b), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, words])
+    fit = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, -r[1]))
+    for k, r in enumerate(fit[: 5 * len(fit) // 100], 1):
+        r[4] = k
+    return sorted(map(repr, (r[:5] for r in rows)))
+
+
+def got(df):
+    return sorted(repr([x.doc_id, x.n_features, x.weight, x.score, x["rank"]]) for x in df.collect())
+
+
+def test_documents(spark):
+    docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    target = [x.text for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = brute(docs, target)
+    assert got(QUERIES["op12_target_resampling"](spark, SF)) == want and sum("None" not in r for r in want) == 5 * sum(buckets(t)[0] >= 20 for _, t in docs) // 100
+
+
+def test_odd_tables(spark):
+    r = random.Random(4)
+    words = ["the", "Über", "RIVER", "x1", "ñ", "tea", "naïve-ish", "42"]
+    texts = [None, "", " .,;", "one", "one two", "w" * 100_000 + " end " + "v" * 70, "word " * 30_000] + [" ".join(r.choice(words) for _ in range(r.choice([3, 19, 20, 21, 60]))) for _ in range(200)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(9, texts[9]), (9, texts[9]), (9, texts[10]), (None, texts[40]), (None, texts[41])]
+    frame = spark.createDataFrame([(i, t, 0.5, 7, 1, "x") for i, t in docs], SCHEMA)
+    target = [texts[30], None, "", "tea tea tea the river"]
+    targets = spark.createDataFrame([(t,) for t in target], "text string")
+    for parts in (1, 7):
+        out = resampling.resample(frame.repartition(parts), targets)
+        assert got(out) == brute(docs, target) and out.columns == ["doc_id", "n_features", "weight", "score", "rank", "n_words"]
+    assert got(resampling.resample(frame, targets.limit(0))) == brute(docs, [])
+    assert got(resampling.resample(frame.limit(5), targets)) == brute(docs[:5], target)
+    assert not resampling.resample(frame.limit(0), targets).collect()
+
+
+def test_rows_near_the_cut(spark, monkeypatch):
+    """A cut that keeps too few falls back on all rows; ties at the cut go by identifier."""
+    rows = [(k, 30, 84, k % 4, k % 4) for k in range(1000)]
+    scored = spark.createDataFrame(rows, "id long, words long, n_features long, weight long, score long").repartition(5)
+    want = {i: n for n, (_, i) in enumerate(sorted((-s, i) for i, _, _, _, s in rows)[:50], 1)}
+    ranks = lambda: {x.id: x["rank"] for x in resampling._ranked(scored, 5, 20).collect() if x["rank"]}
+    assert ranks() == want and resampling._ranked(scored, 5, 20).count() == 1000
+    monkeypatch.setattr(resampling.F, "percentile_approx", lambda *a: resampling.F.lit(10**9))
+    assert ranks() == want
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 18])
+def test_position_table_crc(monkeypatch, piece):
+    r = random.Random(1)
+    monkeypatch.setattr(resampling, "PIECE", piece)
+    data = bytes(r.randrange(256) for _ in range(20_000))
+    start = np.array([r.randrange(10_000) for _ in range(200)])
+    size = np.array([r.choice([1, 2, 63, 64, 65, 127, 128, 129, 200, 1000, r.randrange(1, 10_000)]) for _ in range(200)])
+    found = resampling.span_crcs(np.frombuffer(data, np.uint8), start, size)
+    assert found.tolist() == [zlib.crc32(data[a : a + n]) for a, n in zip(start, size)]
+    texts = [None, "", "a", "Ab c", " x", "é" * 50, "y" * 300 + " z", "end"]
+    for column in (pa.array(texts), pa.array(texts).slice(3), pa.array(texts, pa.large_string())):
+        out = [[] for _ in column]
+        for text, bucket in resampling.features(column):
+            for k, b in zip(text, bucket):
+                out[k].append(int(b))
+        assert [sorted(b) for b in out] == [sorted(buckets(t)[1]) for t in column.to_pylist()]
