@@ -9,14 +9,19 @@ judged by its full sets, or lies within one component already.
 
 Equal shingle sets collapse first. Keys that HOT_LEAST of about HOT_SAMPLE documents share, some 60,000 keys at most, are hot: their
 rows stay where they are and learn what concerns their bucket from a broadcast; all others meet by a shuffle. Candidates are then confirmed in two steps, so that no group gives all its pairs: every
-member of a bucket against the bucket's smallest member, whose text is repeated, if the bucket is hot, for every SPREAD members or so; then, in buckets that still span several
-components, the pairs across components only, in blocks of about BLOCK rows (or BLOCK_SHINGLES shingles) a side. The
-bucket's largest component, mostly nearly all of it, is cut into blocks of its own that never meet each other. The rows of
-such a pair meet again with their texts, in the same blocks; only links come out, never pairs.
+member of a bucket against the bucket's smallest member, whose text is repeated, if the bucket is hot, for every SPREAD members or so; then the
+pairs across the components of buckets that still span several. The sets in such buckets are ordered by how rare their shingles
+are among them, and only pairs whose prefixes share a shingle, early enough in both for threshold percent to be shared, and that have a
+key in common, are read and judged. This loses no pair of the bucket, and documents that share a template but not threshold percent
+don't meet at all: what is rare in them fills their prefixes. What can still grow with the square of a group are sets of very unlike size
+that share their rarest shingles, and components of near copies that no smallest member joins; they meet in blocks of about BLOCK rows.
 
 Defined results: null, empty or white-space texts have no shingles and link with nothing; rows with a null identifier
-link with nothing and stay; rows that share an identifier are one document with several texts, of which one row per
-group stays; an empty table gives an empty result.
+link with nothing and stay; rows that share an identifier are documents of their own, told apart by their sets, whose groups
+may then have equal component_ids; of a group's rows with its smallest identifier the one with the first set and text stays, and
+of rows that repeat both the one whose other columns come first as JSON: so a rerun keeps the same rows; texts count whole,
+however long, and a text's set must fit into a task's memory; further columns stay as they are, whatever their names; an empty table gives
+an empty result. Rows of one identifier are told apart by a 64-bit hash of their texts.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from .graph import connected_components, spanning_edges
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
 WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK = 512
 HOT_SAMPLE, HOT_LEAST = 20_000, 20
 SPREAD = 1000  # members of a hot bucket that meet one copy of its smallest member
 _RNG = np.random.Generator(np.random.PCG64(20240901))
@@ -87,12 +92,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes, sigs = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        for text in batch.column(2).cast(pa.binary()).to_pylist():
             s = shingle_set(text)
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "set_key", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "h", "set_key", "n", "sig"])
     release_memory()
 
 
@@ -173,69 +178,77 @@ def _similar(threshold: int):
     return similar
 
 
-def _candidates(g: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a bucket's two blocks that lie in different components, are near in size, and share no earlier key."""
-    bi, bj, slot = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(4)[0].as_py()
-    blk, comp, n = (g.column(k).to_numpy() for k in (3, 6, 7))
-    sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    rows, cols = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-    for at in range(0, len(rows), 256):
-        r = rows[at : at + 256]
-        ok = (comp[r][:, None] != comp[cols][None]) & (100 * np.minimum.outer(n[r], n[cols]) >= threshold * np.maximum.outer(n[r], n[cols]))
-        if bi == bj:
-            ok &= r[:, None] < cols[None]
-        x, y = np.nonzero(ok)
-        for k in range(0, len(x), 65536):
-            a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
-            off = (sig[a] != sig[b]).reshape(-1, CHUNKS, WIDTH)
-            chunk = (off.sum(axis=2) <= ERRORS).argmax(axis=1)
-            here = chunk * WIDTH + off[np.arange(len(a)), chunk].argmax(axis=1) == slot
-            yield a[here], b[here]
-
-
-def _with_partner(threshold: int):
-    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each bucket's two blocks the rows that are in a candidate pair: the rows whose texts must be read."""
-        for g in sorted_groups(batches, 3):
-            some = np.zeros(g.num_rows, bool)
-            for a, b in _candidates(g, threshold):
-                some[a] = some[b] = True
-            if some.any():
-                yield from g.filter(pa.array(some)).combine_chunks().to_batches()
-
-    return with_partner
-
-
-def _similar_pairs(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], threshold: int) -> Iterator[tuple[int, int]]:
-    """Of row pairs (rows, rows), those whose sets share threshold percent of their union. No set is empty."""
-    sizes = np.array([len(s) for s in sets])
-    start = np.r_[0, np.cumsum(sizes)[:-1]]
-    words, code = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(len(words), bool)
-    for left, right in pairs:
-        order = np.argsort(left, kind="stable")
-        left, right = left[order], right[order]
-        for a, b in zip(np.unique(left), np.split(right, np.flatnonzero(np.diff(left)) + 1)):
-            own = code[start[a] : start[a] + sizes[a]]
-            marked[own] = True
-            both = np.add.reduceat(marked[code], start, dtype=np.int64)[b]
-            marked[own] = False
-            for y in b[100 * both >= threshold * (sizes[a] + sizes[b] - both)]:
-                yield int(a), int(y)
-
-
-def _linked(threshold: int):
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks' rows again, with texts: spanning edges of the candidate pairs whose full sets are similar."""
-        for g in sorted_groups(batches, 3):
-            i = g.column(5).to_pylist()
-            sets = [shingle_set(t.as_py()) for t in g.column(9).cast(pa.binary())]
-            star = spanning_edges((i[x], i[y]) for x, y in _similar_pairs(sets, _candidates(g, threshold), threshold))
-            if star:
-                yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in star], pa.int64()), pa.array([e[0] for e in star], pa.int64())], names=["a", "b"])
-        release_memory()
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, s): a row for each shingle of each text's set."""
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            s = shingle_set(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], names=["id", "s"])
+    release_memory()
 
-    return linked
+
+def _near_pairs(threshold: int):
+    def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) of two blocks of rows that share a shingle: of different components and near in size, so placed that threshold percent can still be shared, with a common key."""
+        for g in sorted_groups(batches, 3):
+            bi, bj = g.column(1)[0].as_py(), g.column(2)[0].as_py()
+            blk, ids, comp, n, pos = (g.column(k).to_numpy() for k in range(3, 8))
+            sig = np.frombuffer(b"".join(g.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            rows, cols = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+            left = n - pos  # shingles from this one on
+            for at in range(0, len(rows), 256):
+                r = rows[at : at + 256]
+                ok = (comp[r][:, None] != comp[cols][None]) & (100 * np.minimum.outer(n[r], n[cols]) >= threshold * np.maximum.outer(n[r], n[cols]))
+                ok &= (100 + threshold) * np.minimum.outer(left[r], left[cols]) >= threshold * np.add.outer(n[r], n[cols])
+                if bi == bj:
+                    ok &= r[:, None] < cols[None]
+                x, y = np.nonzero(ok)
+                for k in range(0, len(x), 65536):
+                    a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
+                    meet = ((sig[a] != sig[b]).reshape(-1, CHUNKS, WIDTH).sum(axis=2) <= ERRORS).any(axis=1)
+                    a, b = ids[a[meet]], ids[b[meet]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return near_pairs
+
+
+def _prefixes(sets: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(s, id, n, pos) for the shingles of each set's prefix, the rarest of these sets first; pos: how many of its own come before.
+
+    Two sets of which threshold percent are shared have a shingle in common that is in both prefixes. Shingles of one set alone come
+    first and meet nothing, so they are counted and left out.
+    """
+    rows = texts.mapInArrow(_shingles, "id long, s long")
+    often = rows.groupBy("s").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = rows.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))  # the set of one text
+    placed = sets.select("id", "n").join(shared, "id").withColumn("alone", F.col("n") - F.size("shared"))
+    least = F.ceil(F.lit(threshold) * F.col("n") / 100)
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("n") - least + 1 - F.col("alone")).cast("int"))
+    out = placed.select("id", "n", "alone", F.posexplode(prefix).alias("k", "e"))
+    return out.select("e.s", "id", "n", (F.col("alone") + F.col("k")).alias("pos"))
+
+
+def _cross_pairs(open_sets: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of open_sets (id, comp, n, sig) in different components that may be similar, by the shingles that their prefixes share.
+
+    The smaller set of a similar pair has the first shared shingle among its first 1 - 2t / (1 + t), so a shingle's rows without one that
+    has it there (`early`) give nothing. Rows meet in blocks, but neither two that aren't early nor two of the shingle's largest component.
+    """
+    rows = materialize(_prefixes(open_sets, texts, threshold).join(open_sets.select("id", "comp"), "id"), "prefixes")
+    rows = rows.withColumn("early", F.expr(f"(n - pos) * {100 + threshold} >= n * {2 * threshold}"))
+    of_s = rows.groupBy("s", "comp").agg(F.count("*").alias("count"), F.max("early").alias("early")).groupBy("s")
+    of_s = of_s.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"), F.max("early").alias("some")).filter("comps > 1 and some").select("s", "largest")
+    rows = rows.join(of_s, "s").withColumn("in_largest", F.expr("comp = largest")).drop("largest")
+    # blocks stand in the order of these kinds, so that a row's partners are a range of blocks
+    kinds = {"a": "early and in_largest", "b": "early and not in_largest", "c": "not early and not in_largest", "d": "not early and in_largest"}
+    sizes = materialize(rows.groupBy("s").agg(*(F.ceil(F.count(F.expr(f"if({kind}, 1, null)")) / BLOCK).cast("int").alias(k) for k, kind in kinds.items())), "blocks")
+    rows = rows.join(sizes, "s")
+    own = F.expr(f"case when {kinds['a']} then struct(0 as first, a as size, a as lo, a + b + c as hi) when {kinds['b']} then struct(a as first, b as size, 0 as lo, a + b + c + d as hi) when {kinds['c']} then struct(a + b as first, c as size, 0 as lo, a + b as hi) else struct(a + b + c as first, d as size, a as lo, a + b as hi) end")
+    rows = rows.withColumn("own", own).filter("own.hi > own.lo").withColumn("blk", F.col("own.first") + F.pmod(F.xxhash64("id"), F.col("own.size")).cast("int"))
+    rows = rows.withColumn("mate", F.explode(F.expr("sequence(own.lo, own.hi - 1)")))
+    tasks = rows.join(open_sets.select("id", "sig"), "id").select("s", F.least("blk", "mate").alias("bi"), F.greatest("blk", "mate").alias("bj"), "blk", "id", "comp", "n", "pos", "sig")
+    where = ["s", "bi", "bj"]
+    return tasks.repartition(*where).sortWithinPartitions(*where).mapInArrow(_near_pairs(threshold), "a long, b long").distinct()
 
 
 def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
@@ -277,19 +290,21 @@ def _copies(centers: DataFrame, salts: DataFrame) -> DataFrame:
     return _with_salts(centers, salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
-    """A row for each document: id, n_shingles, component_id, kept. threshold: percent of the union that must be shared."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    feats = materialize(texts.mapInArrow(_features, "id long, set_key binary, n long, sig binary"), "features")
-    reps = feats.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = materialize(reps, "sets")
-    buckets = materialize(_buckets(reps), "buckets")
+def _components(reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(u, v): v is the smallest vertex of u's component, for each vertex u of reps that isn't it itself."""
+    sets = reps.select(F.col("v").alias("id"), "n", "sig")  # below, an id is a vertex
+    buckets = materialize(_buckets(sets), "buckets")
     similar = _similar(threshold)
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+
+    def read(vertices: DataFrame) -> DataFrame:
+        """id and body of each of these vertices (id); other texts are left out before the join shuffles them."""
+        rows = materialize(reps.select("v", "id", "h").join(vertices.select(F.col("id").alias("v")), "v"), "wanted")
+        mine = KeyFilter(rows.select(F.xxhash64("id", "h").alias("h"))).keep(texts, F.xxhash64("id", "h"))
+        return mine.dropDuplicates(["id", "h"]).join(rows, ["id", "h"]).select(F.col("v").alias("id"), "body")
 
-    def read(ids: DataFrame) -> DataFrame:
-        """The texts of these identifiers; others are left out before the join shuffles them."""
-        return KeyFilter(ids.select(F.xxhash64("id").alias("h"))).keep(texts.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")), F.xxhash64("id")).join(ids, "id", "left_semi")
+    def with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        return pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
 
     stars = materialize(buckets.filter("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "members")
     hot = buckets.filter("hot").select(F.col("center").alias("a")).distinct()
@@ -303,48 +318,69 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     components = connected_components(links)
 
     placed = _assign(buckets, components, "id")
-    of_key = placed.groupBy("key", "hot", "comp").count().groupBy("key", "hot")
-    open_keys = of_key.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps")).filter("comps > 1").select("key", "hot", "largest")
-    members = _join_keys(placed, open_keys).withColumn("in_largest", F.expr("comp = largest")).join(reps.select("id", "n", "sig"), "id")
-    members = materialize(members.select("key", "hot", "slot", "id", "comp", "in_largest", "n", "sig"), "open-buckets")
-
-    def blocks(which: str) -> Column:
-        n = F.when(F.expr(which), F.col("n"))
-        return F.greatest(F.ceil(F.count(n) / BLOCK), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
-
-    members = _join_keys(members, members.groupBy("key", "hot").agg(blocks("not in_largest").alias("others"), blocks("in_largest").alias("larges")))
-    # blocks 0 to others - 1 meet all blocks; those after them, of the largest component, only the former
-    hashed, meets = F.xxhash64("id"), F.expr("if(in_largest, others, others + larges)")
-    members = members.withColumn("blk", F.when(F.col("in_largest"), F.col("others") + F.pmod(hashed, F.col("larges"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
-    tasks = members.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "slot", "id", "comp", "n", "sig")
-    where = ["key", "bi", "bj"]
-    schema = "key long, bi int, bj int, blk int, slot byte, id long, comp long, n long, sig binary"
-    tasks = materialize(tasks.repartition(*where).sortWithinPartitions(*where).mapInArrow(_with_partner(threshold), schema), "partners")
-    if tasks.head(1):
-        wanted = materialize(read(materialize(tasks.select("id").distinct(), "cross-ids")), "cross-texts")
-        more = tasks.join(wanted, "id").select(*tasks.columns, "body").repartition(*where).sortWithinPartitions(*where).mapInArrow(_linked(threshold), "a long, b long")
-        components = connected_components(components.union(materialize(more, "cross-links")))
-
-    of_set = _assign(reps.select("set_key", "id"), components, "id").select("set_key", "comp")
-    found = feats.select("id", "set_key", "n").join(of_set, "set_key", "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    of_key = placed.select("key", "hot", "comp").distinct().groupBy("key", "hot")
+    open_keys = of_key.agg(F.count("*").alias("comps")).filter("comps > 1").select("key", "hot")
+    members = _join_keys(placed, open_keys).select("id", "comp").distinct().join(sets, "id")
+    members = materialize(members.select("id", "comp", "n", "sig"), "open-sets")
+    if members.head(1):
+        wanted = materialize(read(members.select("id")), "cross-texts")
+        pairs = materialize(_cross_pairs(members, wanted, threshold), "cross-pairs")
+        more = materialize(with_texts(pairs, wanted).filter(similar("body_a", "body_b")).select("a", "b"), "cross-links")
+        components = connected_components(components.union(more))
+    return components
+
+def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, body and h, a hash of the text: id and h name a row, or rows that repeat it."""
+    body = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+
+
+def _resolve(texts: DataFrame, threshold: int) -> DataFrame:
+    """A row for each document (id, h, body): id, h, set_key, n, component_id, stays (whether this id and h are its group's first).
+
+    Vertices are the distinct sets, numbered as they stand in a written table, so that rows of one identifier are told apart.
+    """
+    feats = materialize(texts.mapInArrow(_features, "id long, h long, set_key binary, n long, sig binary"), "features")
+    reps = feats.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "h")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = materialize(reps.select("set_key", "first.id", "first.h", "n", "sig").withColumn("v", F.monotonically_increasing_id()), "sets")
+    components = _components(reps, texts, threshold)
+
+    # Sets alone in their component are their own first.
+    grouped = components.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(components.select("v", F.col("v").alias("comp")).distinct())
+    grouped = grouped.join(reps.select("v", "id", "set_key", "h"), "v")
+    first = grouped.groupBy("comp").agg(F.min(F.struct("id", "set_key", "h")).alias("first"))
+    first = grouped.join(first, "comp").select("v", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+    of_set = reps.join(first, "v", "left").select("set_key", F.coalesce("first_id", "id").alias("component_id"), F.coalesce("first_h", "h").alias("first_h"))
+    found = feats.select("id", "h", "set_key", "n").join(of_set, "set_key", "left")
+    linked = F.col("id").isNotNull() & F.col("set_key").isNotNull()
+    stays = ~linked | (F.col("id").eqNullSafe(F.col("component_id")) & F.col("h").eqNullSafe(F.col("first_h")))
+    return found.select("id", "h", "set_key", "n", F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), stays.alias("stays"))
+
+
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
+    """A row for each document: id, n_shingles, component_id, kept. threshold: percent of the union that must be shared."""
+    found = _resolve(_sources(docs, id_col, text_col), threshold)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
-    """docs with one document of each group, all columns as they were."""
-    found = materialize(near_dups(docs, id_col, text_col, threshold).select(F.col(id_col).cast("string").alias("k"), "kept"), "kept")
-    key = fresh(docs, "key")
-    marked = docs.withColumn(key, F.col(id_col).cast("string"))
-    gone = found.filter("not kept").select(F.col("k").alias(key)).distinct()
-    again = found.filter("kept and k is not null").groupBy("k").count().filter("count > 1").select(F.col("k").alias(key))
-    out = gone.unionByName(again)
-    maybe = KeyFilter(out.select(F.xxhash64(key).alias("h")))
-    kept = maybe.drop(marked, F.xxhash64(key)).unionByName(maybe.keep(marked, F.xxhash64(key)).join(out, key, "left_anti"))
-    if again.head(1):
-        kept = kept.unionByName(marked.join(again, key, "left_semi").dropDuplicates([key]))
-    return kept.select(*docs.columns)
+    """docs with one document of each group, all columns as they were: of its rows with the smallest identifier the one with the first set and text."""
+    found = materialize(_resolve(_sources(docs, id_col, text_col), threshold), "kept")
+    i, h, row = (fresh(docs, stem) for stem in ("id", "hash", "row"))
+    named = lambda rows: rows.select(F.col("id").alias(i), F.col("h").alias(h))
+    gone = named(found.filter("not stays")).distinct()
+    again = named(found.filter("stays and id is not null and set_key is not null").groupBy("id", "h").count().filter("count > 1"))
+    again = materialize(again, "again")
+    out = materialize(gone.unionByName(again), "gone")
+    maybe = KeyFilter(out.select(F.xxhash64(i, h).alias("h")))
+    marked = docs.withColumns({i: docs[id_col].cast("long"), h: F.xxhash64(docs[text_col].cast("string"))})
+    key = F.xxhash64(i, h)
+    kept = maybe.drop(marked, key).unionByName(maybe.keep(marked, key).join(out, [i, h], "left_anti").select(*marked.columns)).select(*docs.columns)
+    if again.head(1):  # of rows that repeat identifier and text, the first by their other columns
+        whole = F.struct(*docs.columns)
+        same = marked.join(again, [i, h], "left_semi").groupBy(i, h).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+        kept = kept.unionByName(same.select(f"{row}.*"))
+    return kept
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,14 +332,73 @@ def test_minhash_blocks(spark, monkeypatch):
         rows.append((100 * group + 99, " ".join(base)))
     _, star = shingle_truth(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for block, shingles in ((4, 1 << 20), (512, 300), (512, 1 << 20)):
+    for block in (4, 512):
         monkeypatch.setattr(minhash_dedup, "BLOCK", block)
-        monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", shingles)
         assert {x.doc_id: x.component_id for x in minhash_dedup.near_dups(docs).collect()} == {i: star.get(i, i) for i, _ in rows}
-    sets = [np.unique(np.array([r.randrange(12) for _ in range(8)], np.uint64)) for _ in range(40)]
-    x, y = np.triu_indices(40, 1)
-    got = set(minhash_dedup._similar_pairs(sets, iter([(x[:300], y[:300]), (x[300:], y[300:])]), 75))
-    assert got == {(a, b) for a, b in zip(x.tolist(), y.tolist()) if minhash_dedup.jaccard_at_least(sets[a], sets[b], 75)} and got
+
+
+@pytest.mark.parametrize("block, threshold", [(3, 75), (512, 75), (3, 50), (512, 90)])
+def test_prefixes_lose_no_pair(spark, monkeypatch, block, threshold):
+    """All pairs of different components with a common key that share enough come out of the prefixes, whatever their sizes; others rarely do."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    r = random.Random(block + threshold)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(160):
+        words = list(base[: r.choice([30, 60, 75, 90])])
+        for _ in range(r.choice([0, 1, 2, 3, 9])):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = {k: minhash_dedup.shingle_set(t.encode()) for k, t in enumerate(texts)}
+    sigs = {k: minhash_dedup.signature(s) for k, s in sets.items()}
+    comp = {k: 0 if k % 3 else k for k in sets}  # one large component
+    keys = {k: set(minhash_dedup.signature_keys(sig[None]).ravel().tolist()) for k, sig in sigs.items()}
+    want = {(a, b) for a in sets for b in range(a + 1, 160) if comp[a] != comp[b] and keys[a] & keys[b] and minhash_dedup.jaccard_at_least(sets[a], sets[b], threshold)}
+    rows = spark.createDataFrame([(k, comp[k], len(sets[k]), sigs[k].tobytes()) for k in sets], "id long, comp long, n long, sig binary")
+    pairs = minhash_dedup._cross_pairs(rows, spark.createDataFrame(list(enumerate(texts)), "id long, body string"), threshold).collect()
+    got = {(x.a, x.b) for x in pairs}
+    assert len(got) == len(pairs) and want <= got and all(comp[a] != comp[b] and keys[a] & keys[b] for a, b in got)
+    assert len(want) > 50 and len(got) < 0.8 * 160 * 159 / 2
+
+
+def test_templates_stay_linear(spark, monkeypatch):
+    """Documents that share a template, but not enough of it, meet under keys; their prefixes don't."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdeimnorst") for _ in range(6))
+    seen = {}
+    materialize = minhash_dedup.materialize
+    monkeypatch.setattr(minhash_dedup, "materialize", lambda df, label, *a: seen.__setitem__(label, materialize(df, label, *a)) or seen[label])
+    for own in (45, 22):  # similarities of some 0.45 and 0.65
+        base = [word() for _ in range(100)]
+        for n in (150, 450):
+            docs = spark.createDataFrame([(k, " ".join([*base, *(word() for _ in range(own))])) for k in range(n)], "doc_id long, text string")
+            assert minhash_dedup.near_dups(docs).filter("kept").count() == n
+            assert seen["open-sets"].count() > 0.9 * n and seen["blocks"].count() == 0 and seen["cross-pairs"].count() == 0
+
+
+def test_minhash_rows_of_one_identifier(spark):
+    """Rows that share an identifier but not their text stay; of like ones the same one on each run."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeimnorst") for _ in range(6))
+    base = [[word() for _ in range(60)] for _ in range(4)]
+    change = lambda b, k: " ".join([*b[:k], "changed", *b[k + 1 :]])
+    rows = [(1, " ".join(base[0]), 1), (1, " ".join(base[1]), 2), (1, " ".join(base[0]).upper(), 3), (1, change(base[0], 30), 4), (2, change(base[0], 20), 5), (2, " ".join(base[2]), 6), (3, change(base[2], 9), 7), (1, " ", 8), (1, None, 9), (2, "", 10), (5, " ".join(base[3]), 11), (5, " ".join(base[3]), 12), (5, " ".join(base[3]), 12), (None, " ".join(base[3]), 13), (None, change(base[1], 5), 14)]
+    sets = [minhash_dedup.shingle_set((t or "").encode()) for _, t, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] is not None and rows[b][0] is not None and minhash_dedup.jaccard_at_least(sets[a], sets[b], 75)]
+    star = dict(graph.spanning_edges(links))
+    group = [star.get(k, k) for k in range(len(rows))]
+    seen = []
+    for parts in (1, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(parts)
+        found = sorted(repr(tuple(x)) for x in minhash_dedup.near_dups(docs).collect())
+        least = lambda k: rows[k][0] if not len(sets[k]) else min((rows[m][0] for m in range(len(rows)) if group[m] == group[k]), default=None)
+        want = [(i, len(sets[k]), None if i is None else least(k)) for k, (i, _, _) in enumerate(rows)]
+        assert found == sorted(repr((i, n, c, i == c)) for i, n, c in want)
+        kept = sorted(minhash_dedup.keep_one(docs).collect(), key=repr)
+        seen.append(kept)
+        of = [next(k for k, row in enumerate(rows) if row == tuple(x)) for x in kept]
+        assert len(kept) == len({group[k] for k in range(len(rows))}) and {group[k] for k in of} == set(group) and all(rows[k][0] == least(k) for k in of if rows[k][0] is not None)
+    assert seen[0] == seen[1] == seen[2] and {2, 6, 8, 9, 10, 13, 14} <= {x.id for x in seen[0]}
 
 
 def test_hot_keys_meet_like_others(spark, monkeypatch):
@@ -375,14 +434,6 @@ def test_smallest_members_meet_in_copies(spark, monkeypatch):
     assert sorted((x.a, x.b) for x in met) == [(a, b) for a in (1, 2) for b in range(10, 40)] and {x.salt for x in met if x.a == 1} == set(range(7)) and {x.salt for x in met if x.a == 2} == {0}
 
 
-def test_minhash_shared_identifiers(spark):
-    """Rows of one identifier, one of them blank, meet others in blocks."""
-    base = [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(4, 30)] + [(k, " ") for k in range(4, 30)]
-    got = minhash_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-
-
 def test_minhash_on_documents(spark):
     docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     _, star = shingle_truth(docs)
