@@ -91,6 +91,18 @@ def drawn(seed: str, key: Column, share: float | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") / float(1 << 53) < share
 
 
+def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, least: int) -> DataFrame:
+    """rows joined with a table of one row for each key, whose column `size` counts the rows that have it.
+
+    Keys of more than `least` rows never shuffle their rows: they are broadcast, so there must be few of them; choose `least` as a
+    share of all rows. No other key brings more rows than that together.
+    """
+    hot, flag = table.filter(F.col(size) > least), fresh(rows.join(table.limit(0), keys), "hot")
+    flagged = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias(flag))), keys, "left")
+    often = flagged.filter(F.col(flag)).drop(flag).join(F.broadcast(hot), keys)
+    return often.unionByName(flagged.filter(F.col(flag).isNull()).drop(flag).join(table.filter(F.col(size) <= least), keys))
+
+
 def sorted_groups(batches, keys: int):
     """Groups of rows that follow each other with equal values in the first `keys` integer columns, as Arrow tables.
 

@@ -1,11 +1,14 @@
-"""Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative per group.
+"""Embedding near-dedup: a tree of spherical k-means cells, blocked cosine products within cells, one representative per group.
 
-Cells are fitted for each label and length of vectors that has over CELL_ROWS rows, on a sample of about SAMPLE vectors in all,
-drawn by a hash; every vector is then assigned. A pair at or above the threshold can lie across a border between two
+The roots are the groups of one label and length. At each level every group of over CELL_ROWS rows (SPLIT times that below the roots) is
+cut: about PER_FIT of its own vectors, drawn by a hash, meet on an executor, which fits at most MOST_CELLS centroids; they travel to the group's
+rows in the same sorted stream, so neither samples nor centroids pass through the driver, and each group has its own, however many
+there are. Groups of many rows are salted. A pair at or above the threshold can lie across a border between two
 cells, but then both are within sqrt(2 - 2 * threshold) of the plane between the two centroids. So each vector is also shown,
 as a guest, to every earlier cell whose plane is that close: no pair is lost, and each is compared in exactly one cell.
-Cells that are still over SPLIT times CELL_ROWS rows are cut again in the same way, guests included, up to LEVELS times: a new sample fits
-centroids for each. A pair counts where, at each level, at least one of the two is at home. What is left in a cell is cut into
+A pair counts where, at each level, at least one of the two is at home. A cut that would show its sample over MOST_SHOWN times,
+as it does to vectors that are nearly all within that distance, or that doesn't save half of the pairs, isn't made; of those with more and
+fewer cells the one with the fewest pairs left is. What is left in a cell is cut into
 blocks of about BLOCK rows that are compared two by two in separate tasks. A block pair returns link counts and a spanning
 forest, never its pairs. Equal vectors of a label collapse first and count by their number.
 
@@ -14,8 +17,7 @@ with nothing, as do vectors of different lengths; a null vec_id has a null compo
 count links each by its own vector; a vector of a label stands under the smallest vec_id that has it, and
 vectors that stand under the same one are one vertex; further columns aren't looked at; an empty table gives an empty result.
 
-The driver gets some SAMPLE vectors and the sizes of at most SAMPLE / PER_CELL cells to cut, at each level; what is broadcast
-is at most SAMPLE / PER_CELL centroids.
+What is broadcast: numbers of groups or vectors that hold over 1 / HOT_SHARE of all rows, so fewer than HOT_SHARE rows.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, materialize, sorted_groups, table
+from .common import drawn, join_by_size, materialize, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
-SAMPLE, CELL_ROWS, SPLIT, LEVELS, PER_CELL, BLOCK, ROUNDS = 20_000, 4_000, 4, 3, 16, 2_000, 8
+CELL_ROWS, SPLIT, LEVELS, BLOCK, ROUNDS = 4_000, 4, 8, 2_000, 8
+PER_FIT, PER_CELL, MOST_CELLS, MOST_SHOWN = 2_000, 16, 64, 2.0
+HOT_SHARE, SALT_ROWS = 1000, 100_000
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,27 +65,73 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
-def _cells(centroids: dict[int, np.ndarray], threshold: float, level: int):
-    """Each row with its home cell, and with every earlier cell whose border is within the greatest distance of a link. centroids: by group."""
+def _shown(near: np.ndarray, gaps: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and the cells that they are shown to, and each row's home; near: products with the centroids, gaps: distances between these."""
+    own = near.argmax(axis=1)
+    best = near[np.arange(len(own)), own]
+    border = (best[:, None] - near) <= reach * gaps[own] + 1e-9
+    at_row, cell = np.nonzero(border & (np.arange(near.shape[1])[None] <= own[:, None]))
+    return at_row, cell, own
+
+
+def _gaps(centroids: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+
+
+def _fit(threshold: float):
     reach = np.sqrt(2 - 2 * threshold) + 1e-9
-    gaps = {g: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for g, c in centroids.items()}
+
+    def fit(sample: pa.Table) -> pa.Table:
+        """The centroids of one group from its sample, some PER_FIT rows, as one row; none where no cut helps."""
+        sample = sample.sort_by("id")
+        x, rows = _unit(sample.column("vec").to_pylist()), sample.column("rows")[0].as_py()
+        k = min(MOST_CELLS, len(x) // PER_CELL, -(-rows // CELL_ROWS))
+        best, least = None, len(x) ** 2 / 2  # pairs of the sample to compare: a cut must save half of them
+        while k > 1:
+            centroids = spherical_kmeans(x, k)
+            at_row, cell, _ = _shown(x @ centroids.T, _gaps(centroids), reach)
+            work = (np.bincount(cell) ** 2).sum()
+            if len(at_row) <= MOST_SHOWN * len(x) and work < least:
+                best, least = centroids, work
+            k = k // 4 if k > 8 else k - 1 if k < 5 else 4
+        some = [best] if best is not None else []
+        return pa.table({"group": pa.array([sample.column("group")[0].as_py()] * len(some), pa.int64()), "vec": pa.array([c.tobytes() for c in some], pa.binary()), "id": pa.array([len(c) for c in some], pa.int64())})
+
+    return fit
+
+
+def _cells(threshold: float, level: int):
+    """Each row with its home cell, and with every earlier cell whose border is within the greatest distance of a link; rows come by group, behind their group's centroids.
+
+    Of a group without centroids the rows stay as they are (cell -1), at home.
+    """
+    reach = np.sqrt(2 - 2 * threshold) + 1e-9
+    names = ["id", "rep", "m", "vec", "group", "home", "cell"]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                groups = part.column(4).to_numpy()
-                for g in np.unique(groups):
-                    rows = part.take(pa.array(np.flatnonzero(groups == g)))
-                    c = centroids[g]
-                    near = _unit(rows.column(3).to_pylist()) @ c.T
-                    own = near.argmax(axis=1)
-                    best = near[np.arange(len(own)), own]
-                    border = (best[:, None] - near) <= reach * gaps[g][own] + 1e-9
-                    at_row, cell = np.nonzero(border & (np.arange(len(c))[None] <= own[:, None]))
+                groups, heads = part.column(4).to_numpy(), part.column(5).to_numpy() < 0
+                for k in np.flatnonzero(heads):
+                    c = np.frombuffer(part.column(3)[k].as_py(), np.float64).reshape(part.column(0)[k].as_py(), -1)
+                    held[int(groups[k])] = c, _gaps(c)
+                for g in [g for g in held if g < groups[0]]:
+                    del held[g]
+                plain = ~heads & ~np.isin(groups, list(held))
+                if plain.any():
+                    rows = part.take(pa.array(np.flatnonzero(plain)))
+                    home = rows.column(5).to_numpy() | np.int32(1 << level)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.array(home, pa.int32()), pa.array(np.full(len(home), -1, np.int32))], names=names)
+                for g, (c, gaps) in held.items():
+                    rows = part.take(pa.array(np.flatnonzero((groups == g) & ~heads)))
+                    if not rows.num_rows:
+                        continue
+                    at_row, cell, own = _shown(_unit(rows.column(3).to_pylist()) @ c.T, gaps, reach)
                     got = rows.take(pa.array(at_row))
                     home = got.column(5).to_numpy() | (cell == own[at_row]).astype(np.int32) << level
-                    yield pa.RecordBatch.from_arrays([*got.columns[:5], pa.array(home, pa.int32()), pa.array(cell.astype(np.int32))], names=["id", "rep", "m", "vec", "group", "home", "cell"])
+                    yield pa.RecordBatch.from_arrays([*got.columns[:5], pa.array(home, pa.int32()), pa.array(cell.astype(np.int32))], names=names)
 
     return cells
 
@@ -124,43 +174,44 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     links = found.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("other is not null").select("id", "other"))
     of_rep = reps.join(links.withColumnRenamed("id", "key"), "key", "left").join(components.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
-    of_rep = of_rep.select("label", "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp"))
-    out = rows.join(of_rep, ["label", "vec"], "left")
+    of_rep = materialize(of_rep.select("label", "vec", "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp")), "of-vectors")
+    able = F.col("vec").isNotNull() & F.col("label").isNotNull()
+    linked = join_by_size(rows.filter(able), of_rep, ["label", "vec"], "m", rows.count() // HOT_SHARE).select("id", "n", "comp")
+    out = linked.unionByName(rows.filter(~able).select("id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("comp")))
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
-
-
-def _fit(rows: DataFrame, large: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids of each large group (group, rows), from a sample of its rows: in proportion to its size, some SAMPLE in all."""
-    total = large.agg(F.sum("rows")).first()[0]
-    sample = rows.join(F.broadcast(large), "group").filter(drawn("cells", F.col("id"), SAMPLE / total)).select("group", "id", "vec", "rows")
-    by_group: dict[int, list[bytes]] = {}
-    sizes = {}
-    for r in sorted(sample.collect()):  # SAMPLE rows, give or take a few hundred
-        by_group.setdefault(r.group, []).append(bytes(r.vec))
-        sizes[r.group] = r.rows
-    return {g: spherical_kmeans(_unit(vs), max(1, min(len(vs) // PER_CELL, round(sizes[g] / CELL_ROWS)))) for g, vs in by_group.items()}
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+
+
+def _cut(rows: DataFrame, total: int, threshold: float, level: int) -> DataFrame | None:
+    """rows with the groups of the next level; None if there is nothing to cut."""
+    most = CELL_ROWS * (SPLIT if level else 1)
+    large = materialize(rows.groupBy("group").agg(F.count("*").alias("rows")).filter(F.col("rows") > most), "large-cells")
+    if not large.head(1):
+        return None
+    draw = lambda share: drawn(f"cells{level}", F.col("id"), share)  # noqa: E731  a smaller share draws some of a larger one's rows
+    sample = join_by_size(rows.filter(draw(min(1.0, PER_FIT / most))).select("group", "id", "vec"), large, ["group"], "rows", total // HOT_SHARE)
+    centroids = materialize(sample.filter(draw(PER_FIT / F.col("rows"))).groupBy("group").applyInArrow(_fit(threshold), "group long, vec binary, id long"), "centroids")
+    if not centroids.head(1):
+        return None
+    salted = large.filter(F.col("rows") > max(SALT_ROWS, total // HOT_SHARE)).select("group", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts"))  # fewer than HOT_SHARE rows, as guests are at most MOST_SHOWN - 1 of them a level
+    with_salts = lambda df: df.join(F.broadcast(salted), "group", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    heads = with_salts(centroids).select("id", F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("m"), "vec", "group", F.lit(-1).alias("home"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    body = with_salts(rows).select("id", "rep", "m", "vec", "group", "home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    stream = heads.unionByName(body).repartition("group", "salt").sortWithinPartitions("group", "home").drop("salt")
+    out = stream.mapInArrow(_cells(threshold, level), "id long, rep long, m long, vec binary, group long, home int, cell int")
+    of_cell = F.when(F.col("cell") < 0, F.col("group")).otherwise(F.xxhash64("group", "cell", F.lit(level)))
+    return materialize(out.withColumn("group", of_cell).drop("cell"), "cells")
 
 
 def _links(reps: DataFrame, threshold: float) -> DataFrame:
     """Link counts and spanning edges of distinct vectors (id, rep, label, m, vec)."""
-    rows = reps.select("id", "rep", "m", "vec", F.xxhash64("label", F.length("vec")).alias("group"), F.lit(0).alias("home"))
-    schema, everywhere = "id long, rep long, m long, vec binary, group long, home int, cell int", 0
+    rows, everywhere, total = reps.select("id", "rep", "m", "vec", F.xxhash64("label", F.length("vec")).alias("group"), F.lit(0).alias("home")), 0, reps.count()
     for level in range(LEVELS):
-        sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
-        most = F.lit(CELL_ROWS * (SPLIT if level else 1))
-        large = materialize(sizes.filter(F.col("rows") > most).orderBy(F.desc("rows"), "group").limit(SAMPLE // PER_CELL), "large-cells")
-        centroids = {g: c for g, c in (_fit(rows, large) if large.head(1) else {}).items() if len(c) > 1}
-        if not centroids:
+        if (cut := _cut(rows, total, threshold, level)) is None:
             break
-        cut = rows.sparkSession.createDataFrame([(int(g),) for g in centroids], "group long")  # SAMPLE / PER_CELL rows at most
-        bit = F.lit(1 << level)
-        whole = rows.join(F.broadcast(cut), "group", "left_anti").select(*rows.columns).withColumn("home", F.col("home").bitwiseOR(bit))
-        parted = rows.join(F.broadcast(cut), "group", "left_semi").select(*rows.columns).mapInArrow(_cells(centroids, threshold, level), schema)
-        parted = parted.withColumn("group", F.xxhash64("group", "cell", F.lit(level))).drop("cell")
-        rows, everywhere = materialize(whole.unionByName(parted), "cells"), everywhere | 1 << level
-    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tasks = rows.join(sizes, "group")
+        rows, everywhere = cut, everywhere | 1 << level
+    sizes = rows.groupBy("group").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    tasks = join_by_size(rows, materialize(sizes, "cell-sizes"), ["group"], "rows", total // HOT_SHARE)
     tasks = tasks.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["group", "bi", "bj"]
     tasks = tasks.select("group", F.least("blk", "mate").alias("bi"), F.greatest("blk", "mate").alias("bj"), "blk", "id", "rep", "m", "home", "vec")

@@ -200,7 +200,7 @@ def test_bpe(spark, odd, none):
     assert bpe.tokenize(odd).count() == odd.count() and not bpe.tokenize(none).collect()
 
 
-@pytest.mark.parametrize("limits", [{}, {"CELL_ROWS": 40}, {"CELL_ROWS": 6, "SPLIT": 1, "SAMPLE": 160, "PER_CELL": 4}, {"CELL_ROWS": 3, "SPLIT": 1, "LEVELS": 6, "SAMPLE": 100, "PER_CELL": 10}])
+@pytest.mark.parametrize("limits", [{}, {"CELL_ROWS": 40, "MOST_SHOWN": 9.0}, {"CELL_ROWS": 6, "SPLIT": 1, "PER_FIT": 60, "PER_CELL": 4, "SALT_ROWS": 20, "HOT_SHARE": 9, "MOST_SHOWN": 3.0}, {"CELL_ROWS": 3, "SPLIT": 1, "PER_FIT": 50, "PER_CELL": 10, "MOST_CELLS": 3, "MOST_SHOWN": 9.0, "SALT_ROWS": 7, "HOT_SHARE": 50}])
 def test_embeddings(spark, monkeypatch, limits):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 8))
@@ -463,17 +463,37 @@ def test_pipeline(spark):
 
 
 def test_many_cells():
-    """Over a thousand centroids: gaps come from a matrix product, and the assignment shows every pair in one cell."""
+    """Over a thousand centroids: gaps come from a matrix product, and the assignment shows every pair in one cell. Other groups stay whole."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 6))
     x[1500:] = x[:1500] + rng.normal(size=(1500, 6)) * 0.05
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     centroids = embedding_dedup.spherical_kmeans(unit, 1100, 2)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(range(3000), pa.int64()), pa.array([1] * 3000, pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([7] * 3000, pa.int64()), pa.array([0] * 3000, pa.int32())], names=["id", "rep", "m", "vec", "group", "home"])
+    ids = [1100, *range(3000), 5000, 5001]
+    vecs = [centroids.tobytes(), *(v.tobytes() for v in x), x[0].tobytes(), x[1].tobytes()]
+    groups, home = [7] * 3001 + [8, 9], [-1] + [0] * 3002
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([1] * 3003, pa.int64()), pa.array(vecs, pa.binary()), pa.array(groups, pa.int64()), pa.array(home, pa.int32())], names=["id", "rep", "m", "vec", "group", "home"])
     shown = collections.defaultdict(dict)
-    for part in embedding_dedup._cells({7: centroids}, 0.98, 0)([batch]):
+    for part in embedding_dedup._cells(0.98, 0)([batch.slice(0, 1700), batch.slice(1700)]):
         for i, home, cell in zip(*(part.column(k).to_pylist() for k in (0, 5, 6))):
             shown[i][cell] = home
+    assert shown.pop(5000) == shown.pop(5001) == {-1: 1} and len(shown) == 3000
     for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.98, 1))):
         assert sum(shown[a][c] | shown[b][c] for c in shown[a].keys() & shown[b].keys()) == 1
     assert all(sum(cells.values()) == 1 for cells in shown.values())
+
+
+def test_cells_stay_bounded(spark, monkeypatch):
+    """A hundredth of the production constants: the largest cell doesn't grow with the number of vectors, and few are shown often."""
+    for name, value in (("CELL_ROWS", 40), ("PER_FIT", 200), ("MOST_CELLS", 12)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(4)
+    largest, shown = {}, {}
+    for n in (500, 2000, 8000):
+        x = rng.normal(size=(n // 25, 24))[rng.integers(0, n // 25, n)] + rng.normal(size=(n, 24)) * 0.1
+        rows = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(x)], "id long, vec binary").selectExpr("id", "id as rep", "1L as m", "vec", "5L as `group`", "0 as home")
+        level = 0
+        while (cut := embedding_dedup._cut(rows, n, 0.98, level)) is not None and level < embedding_dedup.LEVELS:
+            rows, level = cut, level + 1
+        largest[n], shown[n] = rows.groupBy("group").count().agg(F.max("count")).first()[0], rows.count() / n
+    assert max(largest.values()) <= 40 * embedding_dedup.SPLIT and max(shown.values()) < 6
