@@ -12,7 +12,7 @@ text `null`; a document of the columns added keeps its own column, and the added
 gives an empty result.
 
 A distribution is kept from 12 standard deviations below its mean to 12 (and 30 copies) above it: 24 * sqrt(rate) + 31 chances,
-with their sum to 1 within rounding. The table of rates has a row per source. It is broadcast if its chances are at most
+with their sum to 1 within rounding. Copy numbers are 64-bit, and copies are made in blocks, so a rate of 1e10 works like any other. The table of rates has a row per source. It is broadcast if its chances are at most
 BROADCAST_CHANCES (16 MB). Beyond that only sources of over 1/HOT_SHARE of all rows are, so fewer than HOT_SHARE rows, with at
 most BROADCAST_CHANCES / HOT_SHARE chances each; all others meet their documents in a shuffle join.
 """
@@ -29,6 +29,7 @@ from .common import fresh, materialize, table
 
 TARGETS, ALPHA, EPOCHS, SEED = {"src0": 0.2}, 0.7, 1.0, "mix-1"
 BROADCAST_CHANCES, HOT_SHARE = 2_000_000, 1000
+COPIES = 100_000  # a document's copies are numbered in blocks of so many, so no row holds a longer list
 
 
 def uniform(seed: str, id_col: Column) -> Column:
@@ -37,10 +38,25 @@ def uniform(seed: str, id_col: Column) -> Column:
     return (F.conv(word, 16, 10).cast("double") + 0.5) / float(16**13)
 
 
-def log_factorial(k: Column) -> Column:
-    """ln k! of a double: exact below 16, Stirling's series beyond, whose error is under 1e-13."""
-    series = k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, F.lit(5.0)))
-    return F.when(k < 16, F.log(F.factorial(k.cast("int")).cast("double"))).otherwise(series)
+def chance(k: Column, rate: Column) -> Column:
+    """The Poisson chance of k copies, both doubles, for a rate above 0.
+
+    Beyond 16 copies it is exp(-deviance - rest) / sqrt(2 pi k), where k ln(k / rate) + rate - k is the deviance and the rest is that of Stirling's
+    series: no large numbers cancel, so the chances hold at any rate.
+    """
+    x = (rate - k) / k
+    deviance = k * (x - F.log1p(x))
+    rest = 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, F.lit(5.0)))
+    few = F.exp(k * F.log(rate) - rate) / F.factorial(F.least(k, F.lit(16.0)).cast("int")).cast("double")
+    return F.when(k < 16, few).otherwise(F.exp(-deviance - rest) / F.sqrt(2 * math.pi * k))
+
+
+def numbered(rows: DataFrame, count: str, copy: str) -> DataFrame:
+    """A row for each copy, numbered from 1 in the column `copy`; rows whose count is 0 have none. Two steps, of at most COPIES copies each for counts up to COPIES squared."""
+    block = fresh(rows, "block")
+    blocks = rows.filter(F.col(count) > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {COPIES}"))))
+    first = F.col(block) * COPIES + 1
+    return blocks.withColumn(copy, F.explode(F.sequence(first, F.least(F.col(count), first + (COPIES - 1))))).drop(block)
 
 
 def source_rates(docs: DataFrame, source_col: str, text_col: str, targets: dict[str, float], alpha: float, epochs: float) -> DataFrame:
@@ -60,7 +76,7 @@ def source_rates(docs: DataFrame, source_col: str, text_col: str, targets: dict[
     rated = rated.select("key", "chars", "rows", rate.alias("rate")).withColumn("least", F.greatest(F.lit(0), F.floor(F.col("rate") - wide)).cast("long"))
     chances = rated.withColumn("k", F.explode(F.sequence(F.col("least"), F.ceil(F.col("rate") + wide + 30).cast("long"))))
     k = F.col("k").cast("double")
-    p = F.when(F.col("rate") > 0, F.exp(k * F.log("rate") - F.col("rate") - log_factorial(k))).otherwise((F.col("k") == 0).cast("double"))
+    p = F.when(F.col("rate") > 0, chance(k, F.col("rate"))).otherwise((F.col("k") == 0).cast("double"))
     upto = F.sum("p").over(W.partitionBy("key").orderBy("k").rowsBetween(W.unboundedPreceding, 0))  # the chances of one source
     summed = chances.withColumn("p", p).withColumn("cdf", upto)
     return summed.groupBy("key", "chars", "rows", "rate", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
@@ -82,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         drawn = flagged.filter(F.col(hot)).drop(hot).join(F.broadcast(often), key).unionByName(flagged.filter(F.col(hot).isNull()).drop(hot).join(seldom, key))
     draw = uniform(seed, F.col(id_col))
     copies = F.col(least) + F.size(F.filter(F.col(cdf), lambda c: c <= draw))
-    drawn = drawn.withColumn(cdf, copies).filter(F.col(cdf) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(cdf).cast("int"))))
+    drawn = numbered(drawn.withColumn(cdf, copies), cdf, copy)
     drawn = drawn.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
     mixed = drawn.select(*docs.columns, copy, order).repartition(F.col(order)).sortWithinPartitions(order)
     taken = {c.lower() for c in docs.columns}
@@ -96,7 +112,7 @@ def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "shuffle_key")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", F.col("copy_no").cast("int").alias("copy_no"), "shuffle_key")
 
 
 OP5_SQL = f"""
