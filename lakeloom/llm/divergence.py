@@ -9,8 +9,8 @@ are the leaves of a segment tree. Trees are hash-consed: nodes of equal children
 so the many stretches of equal counts, zeros above all, are shared. Two trees are traversed together, level by level from
 their roots; a pair of nodes that comes up again is not followed again but counted with its multiplicity, and a pair of leaves, equal
 counts of the one and equal ones of the other, is priced once. A block's tasks are dealt by pairs of chunks of CHUNK
-sources, so a task has at most 2 * CHUNK sources and about BLOCK terms, whatever the language's or a source's size. What leaves it
-is a row for each pair of groups, as the result has; these are summed over the blocks.
+sources, so a task has about 2 * CHUNK sources and BLOCK terms, whatever the language's or a source's size. What leaves it
+is a row for each pair of groups, as the result has, which are summed over the blocks, and each source's telling terms of the block.
 
 All arithmetic is exact: shares by long division in integers, for up to 9.2e15 terms in a language.
 
@@ -28,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, settled, table
 
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
-BLOCK, CHUNK, KEPT_TERMS = 4096, 64, 200_000
+BLOCK, CHUNK, KEPT_TERMS = 4096, 64, 500_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TERMS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+").findall
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -49,18 +49,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
             terms = list(n)
-            cols = [[lang] * (len(terms) + 1), [source] * (len(terms) + 1), [None, *terms], [0, *n.values()], [0, *(docs[t] for t in terms)]]
+            cols = [pa.array([None, *terms], pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, terms)], pa.int64())]
             for at in range(0, len(terms) + 1, 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
+                part = [c.slice(at, 10_000) for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(part[0])), pa.repeat(pa.scalar(source, pa.string()), len(part[0])), *part], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
             size -= len(n)
             text = text.as_py()
-            own = Counter(_TERMS(text.lower() if text.isascii() else text.translate(_LOWER)))
-            n.update(own)
-            docs.update(own.keys())
+            terms = _TERMS(text.lower() if text.isascii() else text.translate(_LOWER))
+            n.update(terms)
+            docs.update(set(terms))
             size += len(n)
             if size > KEPT_TERMS:
                 yield from flushed()
@@ -68,21 +69,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
-def share(count: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + kept)), by long division in steps of 1000, so that no step leaves 64 bits."""
-    by = F.greatest(total + kept, F.lit(1))
-    div = lambda a, b: F.call_function("div", a, b)
-    rest, out = count + 1, F.lit(0).cast("long")
-    whole = div(rest, by)
-    rest, out = rest - whole * by, whole
-    for _ in range(3):
-        digit = div(rest * 1000, by)
-        rest, out = rest * 1000 - digit * by, out * 1000 + digit
-    return out + 1
-
-
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The same of arrays; total: kept terms included."""
+    """1 + floor(SCALE * (count + 1) / total), by long division in steps of 1000, so that no step leaves 64 bits; total: kept terms included."""
     total = np.maximum(total, 1)
     out, rest = np.divmod(count + 1, total)
     for _ in range(3):
@@ -119,80 +107,97 @@ def leaf_pairs(roots_a: np.ndarray, roots_b: np.ndarray, levels: list[np.ndarray
     return pair, a, b, times
 
 
-def _priced(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """A block's terms and a pair of chunks' sources: (lang, source, item, value), the block's part of both values of each pair of them."""
-    heads = rows.filter(pc.is_null(rows.column("term")))
-    names, chunk, total = heads.column("source").to_pylist(), heads.column("chunk").to_numpy(), heads.column("total").to_numpy()
-    order = sorted(range(len(names)), key=names.__getitem__)
-    names, chunk, total = [names[k] for k in order], chunk[order], total[order]
-    counts = rows.filter(pc.is_valid(rows.column("term")))
-    numbers = {s: k for k, s in enumerate(names)}
-    source = np.array([numbers[s] for s in counts.column("source").to_pylist()], int)
-    terms = counts.column("term").combine_chunks().dictionary_encode() if len(counts) else None
-    n = counts.column("n").to_numpy()
-    term = np.asarray(terms.indices) if len(counts) else np.zeros(0, int)
-    # ids by falling total, so that rare terms, and with them zeros, lie side by side
-    sums = np.bincount(term, n) if len(counts) else np.zeros(0)
-    ids = np.empty(len(sums), int)
-    ids[np.argsort(-sums, kind="stable")] = np.arange(len(sums))
-    kept = heads.column("kept")[0].as_py() if len(heads) else 0  # terms of the block that any source of the language has
-    leaves = np.full((len(names), 1 << max(0, kept - 1).bit_length()), -1, np.int64)  # -1 fills up to a power of two and has no price
-    leaves[:, :kept] = 0
-    leaves[source, ids[term]] = n
-    ca, cb = key[2].as_py(), key[3].as_py()
-    a, b = np.nonzero((chunk == ca)[:, None] & (chunk == cb)[None])
-    a, b = (a[a < b], b[a < b]) if ca == cb else (a, b)
-    back, there = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    roots, values, levels = hash_consed(leaves)
-    for at in range(0, len(a), 256):
-        i, j = a[at : at + 256], b[at : at + 256]
-        pair, x, y, times = leaf_pairs(roots[i], roots[j], levels)
-        real = values[x] >= 0
-        pair, x, y, times = pair[real], values[x[real]], values[y[real]], times[real]
-        p, q = shares(x, total[i[pair]]), shares(y, total[j[pair]])
-        square = (p - q) ** 2
-        np.add.at(there, at + pair, times * (square // q))
-        np.add.at(back, at + pair, times * (square // p))
-    lang = key[0].as_py()
-    left, right = [names[k] for k in a], [names[k] for k in b]
-    return pa.table({"lang": pa.array([lang] * (2 * len(a)), pa.string()), "source": pa.array(left + right, pa.string()), "item": pa.array(right + left, pa.string()), "value": pa.array(np.r_[there, back])})
-
-
+def _priced(top: int):
+    def priced(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """A block's terms and a pair of chunks' sources: (lang, source, part, item, value), the block's part of both values of each pair of them, and the sources' telling terms.
+
+        Rows without term are the sources, with their totals; the others hold a term's counts.
+        """
+        heads = rows.filter(pc.is_null(rows.column("term"))).sort_by("source")
+        names, chunk, total = heads.column("source").to_pylist(), heads.column("chunk").to_numpy(), heads.column("total").to_numpy()
+        rows = rows.filter(pc.is_valid(rows.column("term"))).sort_by([("all_n", "descending"), ("term", "ascending")])  # ids by falling total, so that rare terms, and with them zeros, lie side by side
+        counts = rows.column("counts").combine_chunks()
+        source = np.searchsorted(np.array(names, object), np.array(counts.flatten().field(0).to_pylist(), object)) if len(rows) else np.zeros(0, int)
+        n, ids = counts.flatten().field(1).to_numpy(), np.repeat(np.arange(len(rows)), pc.list_value_length(counts).to_numpy())
+        kept = heads.column("kept")[0].as_py()  # terms of the block that any source of the language has
+        leaves = np.full((len(names), 1 << max(0, kept - 1).bit_length()), -1, np.int64)  # -1 fills up to a power of two and has no price
+        leaves[:, :kept] = 0
+        leaves[source, ids] = n
+        ca, cb = key[2].as_py(), key[3].as_py()
+        a, b = np.nonzero((chunk == ca)[:, None] & (chunk == cb)[None])
+        a, b = (a[a < b], b[a < b]) if ca == cb else (a, b)
+        back, there = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        roots, values, levels = hash_consed(leaves)
+        for at in range(0, len(a), 256):
+            i, j = a[at : at + 256], b[at : at + 256]
+            pair, x, y, times = leaf_pairs(roots[i], roots[j], levels)
+            real = values[x] >= 0
+            pair, x, y, times = pair[real], values[x[real]], values[y[real]], times[real]
+            p, q = shares(x, total[i[pair]]), shares(y, total[j[pair]])
+            square = (p - q) ** 2
+            np.add.at(there, at + pair, times * (square // q))
+            np.add.at(back, at + pair, times * (square // p))
+        left, right = [names[k] for k in a], [names[k] for k in b]
+        out = [("pair", left, right, there), ("pair", right, left, back)]
+        if ca == cb and len(rows):
+            p, q = shares(n, total[source]), shares(rows.column("all_n").to_numpy(), heads.column("lang_total").to_numpy()[0])[ids]
+            told = np.flatnonzero((n > 0) & (p > q))
+            value = (p[told] - q[told]) ** 2 // q[told]
+            terms = rows.column("term").combine_chunks()
+            for k in np.unique(source[told]):
+                mine = np.flatnonzero(source[told] == k)
+                best = pa.table({"value": pa.array(value[mine]), "item": terms.take(pa.array(ids[told[mine]]))})
+                best = best.take(pc.select_k_unstable(best, top, [("value", "descending"), ("item", "ascending")]))
+                out.append(("term", [names[k]] * len(best), best.column("item").to_pylist(), best.column("value").to_numpy()))
+        size = sum(len(v) for *_, v in out)
+        return pa.table({
+            "lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), size), "source": pa.array([s for _, sources, _, _ in out for s in sources], pa.string()), "part": pa.array([part for part, _, _, v in out for _ in range(len(v))], pa.string()),
+            "item": pa.array([i for _, _, items, _ in out for i in items], pa.string()), "value": pa.array(np.concatenate([v for *_, v in out]), pa.int64()),
+        })
+
+    return priced
+
+
+@settled("audit")
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): part `pair` for each other source of the language, part `term` for the source's `top` telling terms."""
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    plain = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
     rows = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).alias("body"))
-    counts = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = materialize(counts, "counts")
-    terms = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    terms = materialize(terms.select("lang", "term", "all_n"), "terms")
-    langs = counts.select("lang").distinct().join(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n")), "lang", "left")
-    langs = langs.select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_n", F.lit(0)).alias("lang_n")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).cast("int"))
-    own = materialize(counts.filter("term is not null").select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "kept-counts")
-    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
-    groups = counts.filter("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").withColumn("source_n", F.coalesce("source_n", F.lit(0)))
-    n_sources = groups.groupBy("lang").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    groups = groups.join(langs, "lang").join(n_sources, "lang").withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int"))
-    groups = materialize(groups, "groups")
-    joined = own.join(groups, ["lang", "source"])  # a source's rows may be a third of all; Spark splits them at run time
-
-    p, q = share(F.col("n"), F.col("source_n"), F.col("v")), share(F.col("all_n"), F.col("lang_n"), F.col("v"))
-    telling = joined.withColumns({"p": p, "q": q}).filter("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
-    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
-    telling = ranked(telling).filter(F.col("rank") <= top)  # each task ranks its own rows first, so `top` rows of a group and task meet
-
-    mates = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    # both aggregates keep this partitioning; tasks have summed their own rows before
+    of_source = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = of_source.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("counts"), F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
+    terms = materialize(terms.filter(F.col("term").isNull() | (F.col("docs") >= least_docs)).select("lang", "term", "counts", "all_n"), "terms")
+    kept = terms.filter("term is not null")
+
+    langs = terms.groupBy("lang").agg(F.count("term").alias("v"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("all_n"))), F.lit(0)).alias("n"))
+    langs = langs.select("lang", "v", (F.col("n") + F.col("v")).alias("lang_total"), F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).cast("int").alias("blocks"))
+    groups = terms.select("lang", F.col("term").isNotNull().alias("real"), F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.coalesce(F.sum(F.when(F.col("real"), F.col("c.n"))), F.lit(0)).alias("n"))
+    chunks = groups.groupBy("lang").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    langs = materialize(langs.join(chunks, "lang"), "langs")
+
+    chunk_of = lambda source: F.pmod(F.xxhash64(source), F.col("chunks")).cast("int")
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
-    sizes = terms.join(langs.select("lang", "blocks"), "lang").groupBy("lang", block.alias("block")).agg(F.count("*").cast("int").alias("kept"))
-    heads = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sizes, ["lang", "block"], "left")
-    heads = heads.select("lang", "block", "source", "chunk", "chunks", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), (F.col("source_n") + F.col("v")).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
-    body = joined.select("lang", block.alias("block"), "source", "chunk", "chunks", "term", "n", F.lit(0).cast("long").alias("total"), F.lit(0).alias("kept"))
-    tasks = heads.unionByName(body).withColumn("mate", mates)
-    tasks = tasks.select("lang", "block", F.least("chunk", "mate").alias("ca"), F.greatest("chunk", "mate").alias("cb"), "source", "chunk", "term", "n", "total", "kept")
-    priced = tasks.groupBy("lang", "block", "ca", "cb").applyInArrow(_priced, "lang string, source string, item string, value long")
-    pairs = priced.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    part = lambda rows, name: rows.select("lang", "source", F.lit(name).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
-    return part(ranked(pairs), "pair").unionByName(part(telling, "term"))
+    placed = kept.join(langs, "lang").withColumn("block", block)
+    sizes = placed.groupBy("lang", "block").agg(F.count("*").cast("int").alias("kept"))
+    heads = groups.join(langs, "lang").withColumn("chunk", chunk_of("source")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sizes, ["lang", "block"], "left")
+    heads = heads.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "lang", "block", F.least("chunk", "mate").alias("ca"), F.greatest("chunk", "mate").alias("cb"), "source", "chunk", (F.col("n") + F.col("v")).alias("total"), "lang_total", F.coalesce("kept", F.lit(0)).alias("kept"),
+        F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<struct<source:string,n:bigint>>").alias("counts"), F.lit(0).cast("long").alias("all_n"),
+    )
+    upto = F.sequence(F.lit(0), F.col("chunks") - 1)
+    pairs = F.flatten(F.transform(upto, lambda x: F.transform(F.filter(upto, lambda y: y >= x), lambda y: F.struct(x.alias("ca"), y.alias("cb")))))
+    body = placed.withColumn("c", F.explode(pairs)).select("lang", "block", "c.ca", "c.cb", "term", "counts", "all_n", "chunks")
+    mine = F.filter("counts", lambda x: chunk_of(x["source"]).isin(F.col("ca"), F.col("cb")))
+    body = body.withColumn("counts", F.when(F.col("chunks") > 1, mine).otherwise(F.col("counts"))).filter(F.size("counts") > 0).drop("chunks")
+    tasks = heads.unionByName(body, allowMissingColumns=True)
+    priced = materialize(tasks.groupBy("lang", "block", "ca", "cb").applyInArrow(_priced(top), "lang string, source string, part string, item string, value long"), "priced")
+
+    value = priced.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    told = priced.filter("part = 'term'")  # `top` for each source and block at most
+    rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    out = value.withColumn("rank", rank).unionByName(told.withColumn("rank", rank).filter(F.col("rank") <= top))
+    return out.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
