@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
+import functools
 import gc
 import re
 import sys
@@ -55,20 +57,52 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{label}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)  # what materialize wrote in the innermost `scratch`
+
+
 def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
+    if (written := _SCRATCH.get()) is not None:
+        written.append((df.sparkSession, path))
     df.write.options(**options or {}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialize wrote, once all that reads it is written."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end what materialize wrote inside, but for the tables given to the function that it yields, which pass to the scratch around it, if any."""
+    token, kept = _SCRATCH.set([]), set()
+    try:
+        yield lambda table: kept.add(table.scratch_path) or table
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        written = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        for spark, path in written:
+            if path not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            elif (around := _SCRATCH.get()) is not None:
+                around.append((spark, path))
+
+
+def settled(label: str):
+    """An operator whose result stands in a written table, the only one of its tables that stays."""
+
+    def settle(operator):
+        @functools.wraps(operator)
+        def run(*args, **options) -> DataFrame:
+            with scratch() as keep:
+                return keep(materialize(operator(*args, **options), label))
+
+        return run
+
+    return settle
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, join_by_size, materialize, sorted_groups, table
+from .common import drawn, join_by_size, materialize, settled, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
 CELL_ROWS, SPLIT, LEVELS, BLOCK, ROUNDS = 4_000, 4, 8, 2_000, 8
@@ -164,6 +164,7 @@ def _compare(threshold: float, everywhere: int):
     return compare
 
 
+@settled("near-vectors")
 def near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
     """A row for each vector: id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))

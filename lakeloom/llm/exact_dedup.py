@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, discard, fresh, materialize, table
+from .common import KeyFilter, fresh, materialize, settled, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MEMTABLES, FANOUT = 64, 8
@@ -98,6 +98,7 @@ def row_key(id_col: Column) -> Column:
     return F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("null")))
 
 
+@settled("resolved")
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
     """A row for each document: (digest, id, keep_id, n_rows, part), written to the shared folder.
 
@@ -108,7 +109,6 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     level = index.compact()
     total = level.agg(F.sum("n_rows")).first()[0] or 0
     entries = materialize(join_level(index.rows().drop("run"), level, total), "entries")
-    discard(*index.flushed, *index.levels)
 
     hits = entries.filter("n_rows > 1")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))

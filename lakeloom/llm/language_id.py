@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, drawn, materialize, table, worker_cache
+from .common import bucket_of_id, drawn, materialize, scratch, table, worker_cache
 
 TRAIN_ROWS, MOST_LANGS, HASH_BITS, SMOOTH, SHARPNESS, CLOSE = 12_000, 200, 14, 0.5, 4.0, 0.75
 
@@ -112,6 +112,7 @@ def predictor(langs: list[str], weights: np.ndarray, code: np.ndarray, trust: np
     return predict
 
 
+@scratch()
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
     spark = docs.sparkSession
     pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (bucket_of_id(F.col("id"), 3) != 1))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, drawn, fresh, materialize, release_memory, sorted_groups, table
+from .common import KeyFilter, drawn, fresh, materialize, release_memory, settled, sorted_groups, table
 from .graph import connected_components, spanning_edges
 
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
@@ -335,6 +335,7 @@ def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
 
 
+@settled("near-dups")
 def _resolve(texts: DataFrame, threshold: int) -> DataFrame:
     """A row for each document (id, h, body): id, h, set_key, n, component_id, stays (whether this id and h are its group's first).
 
@@ -365,7 +366,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """docs with one document of each group, all columns as they were: of its rows with the smallest identifier the one with the first set and text."""
-    found = materialize(_resolve(_sources(docs, id_col, text_col), threshold), "kept")
+    found = _resolve(_sources(docs, id_col, text_col), threshold)
     i, h, row = (fresh(docs, stem) for stem in ("id", "hash", "row"))
     named = lambda rows: rows.select(F.col("id").alias(i), F.col("h").alias(h))
     gone = named(found.filter("not stays")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import fresh, materialize, scratch, table
 
 TARGETS, ALPHA, EPOCHS, SEED = {"src0": 0.2}, 0.7, 1.0, "mix-1"
 BROADCAST_CHANCES, HOT_SHARE = 2_000_000, 1000
@@ -84,7 +84,8 @@ def source_rates(docs: DataFrame, source_col: str, text_col: str, targets: dict[
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = EPOCHS, seed: str = SEED, copy_col: str = "copy_no", order_col: str = "shuffle_key") -> DataFrame:
     """docs with each row repeated by its count (maybe none), in a global random order; adds copy number (from 1) and order key."""
-    rates = materialize(source_rates(docs, source_col, text_col, TARGETS if targets is None else targets, alpha, epochs), "rates")
+    with scratch() as keep:
+        rates = keep(materialize(source_rates(docs, source_col, text_col, TARGETS if targets is None else targets, alpha, epochs), "rates"))
     key, least, cdf, hot, copy, order = (fresh(docs, stem) for stem in ("key", "least", "cdf", "hot", "copy", "order"))
     small = rates.select(F.col("key").alias(key), F.col("least").alias(least), F.col("cdf").alias(cdf), "rows")
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, settled, table
 
 BUCKETS, NGRAM, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, "42"
 SPAN, PIECE = 64, 1 << 18
@@ -246,6 +246,7 @@ def _ranked(scored: DataFrame, percent: int, least_words: int) -> DataFrame:
     return top.select(*scored.columns, "rank").unionByName(scored.filter(~F.coalesce(near, F.lit(False))).withColumn("rank", F.lit(None).cast("long")))
 
 
+@settled("resampled")
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED) -> DataFrame:
     """A row for each document: id, n_features, weight, score, rank (null if it isn't drawn), n_words. target: texts like those to be drawn."""
     gain = gains(bucket_counts(docs, text_col), bucket_counts(target, text_col))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, settled, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_-]{20,}={0,2}"
@@ -178,11 +178,15 @@ def thresholds(tested: DataFrame) -> DataFrame:
     return ranked.filter(edge <= FDR * F.col("rank") / F.col("all")).groupBy("band").agg(F.min("bin").alias("least_bin"))
 
 
+@settled("secrets")
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, n_assign, n_access, n_hex, n_random, found (kind, start, stop, secret), base_sha256, spans."""
+    """A row for each document: id, n_assign, n_access, n_hex, n_random, base_sha256, spans, found (kind, start, stop).
+
+    The secrets themselves are written nowhere: spans are code points of the text, ends exclusive.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     found = texts.withColumns({"assign": _spans(F.col("body"), ASSIGN, 6), "access": F.filter(_spans(F.col("body"), ACCESS), lambda s: s["stop"] - s["start"] >= 20), "hex": _spans(F.col("body"), HEX)})
-    named = lambda kind, order: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop"), s["token"].alias("secret")))
+    named = lambda kind, order: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
     found = found.withColumn("base", F.array_sort(F.concat(named("assign", 0), named("access", 1), named("hex", 2))))
     # A run of token characters and masked ones that holds a masked one touches a base span.
     masked = F.replace(F.col("body"), F.lit(MASK), F.lit(" "))
@@ -190,25 +194,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         masked = F.when(F.size(kind) > 0, _let(masked, lambda text: _masked(text, pattern, needed, least))).otherwise(masked)  # noqa: B023
     found = found.withColumn("masked", F.when(F.size("base") > 0, masked).otherwise(F.replace(F.col("body"), F.lit(MASK), F.lit(" "))))
     free = F.filter(_spans(F.col("masked"), TOKEN.replace("[", "[" + MASK, 1)), lambda t: ~F.contains(t["token"], F.lit(MASK)))
-    found = found.select(
-        "id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
-        "base",
-        F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("order"), F.lit("random").alias("kind"), s["stop"].alias("stop"), s["token"].alias("secret"))).alias("free"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    found = materialize(found, "spans")  # ids and spans, no texts
-    tested = battery(found.filter(F.size("free") > 0).select("row", F.explode("free").alias("span")).withColumn("token", F.col("span.secret")))
-    tested = materialize(tested.select("row", "span", "n", "p_words", "p_random"), "tested")
-    passed = tested.withColumn("band", band(F.col("n"))).join(F.broadcast(thresholds(tested)), "band")  # a row for each power of two
+    found = found.select("id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), "base", free.alias("free"), F.monotonically_increasing_id().alias("row"))
+    # A row for each candidate, the first of a document with what else is known of it; of tokens only their tests are written.
+    each = found.select(*found.columns, F.posexplode_outer("free").alias("at", "span")).withColumn("token", F.col("span.token")).drop("free")
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    tested = battery(each).select("row", first.alias("first"), *(F.when(first, F.col(c)).alias(c) for c in ("id", "n_assign", "n_access", "n_hex", "base")), "span.start", "span.stop", "n", "p_words", "p_random")
+    tested = materialize(tested, "spans")
+    passed = tested.filter("start is not null").withColumn("band", band(F.col("n"))).join(F.broadcast(thresholds(tested.filter("start is not null"))), "band")  # a row for each power of two
     passed = passed.filter((bin_of(F.col("p_words")) >= F.col("least_bin")) & (F.col("p_random") > PLAUSIBLE))
-    secrets = passed.groupBy("row").agg(F.collect_list("span").alias("random"))  # the spans of one document
-    out = found.join(secrets, "row", "left")
+    span = F.struct("start", F.lit(3).alias("order"), F.lit("random").alias("kind"), "stop")
+    secrets = passed.groupBy("row").agg(F.collect_list(span).alias("random"))  # the spans of one document
+    out = tested.filter("first").drop("start", "stop").join(secrets, "row", "left")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     both = F.array_sort(F.concat("base", F.coalesce("random", F.filter("base", lambda s: F.lit(False)))))
     out = out.withColumn("found", both)
     return out.select(
         F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", (F.size("found") - F.size("base")).cast("long").alias("n_random"),
-        F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"), "found",
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"), F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("found"),
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, drawn, fresh, materialize, table
+from .common import bucket_of_id, drawn, fresh, materialize, scratch, table
 
 TRAIN_ROWS, LEXICON, LEAST_DOCS, BEGINNINGS, NEAR = 16_000, 4_000, 3, (4, 5, 6), 4
 #: Second-person words of English, German, French and Spanish.
@@ -130,6 +130,7 @@ def _lexicons(train: DataFrame) -> list[dict[str, float]]:
     return out
 
 
+@scratch()
 def toxicity_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Learn from docs and labels; returns a function that adds a score column (its second argument) to a table with the same text column."""
     teach = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (bucket_of_id(F.col("id"), 5) != 0))
