@@ -1,7 +1,9 @@
 """Licence sentences in their canonical wording, as authors print it."""
 
 import textwrap
+import time
 
+import duckdb
 import pytest
 
 from lakeloom.llm import licenses
@@ -29,7 +31,10 @@ WORDING = {
     "GplHope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "GplDetails": "See the GNU General Public License for more details.",
     "GplReceived": "You should have received a copy of the GNU General Public License along with this program.",
-    "BsdRef": "This code is licensed under the 3-clause BSD license.",
+    "BsdRef": "This code is licensed under a BSD-style license.",
+    "BsdRef3": "This code is licensed under the 3-clause BSD license.",
+    "BsdRef2": "Foo is released under the BSD 2-Clause License.",
+    "BsdGoverned": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "BsdPermit": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BsdSource": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "BsdBinary": "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
@@ -65,6 +70,30 @@ WORDING = {
     "SpdxIsc": "SPDX-License-Identifier: ISC",
     "SpdxCc0": "SPDX-License-Identifier: CC0-1.0",
     "SpdxUnlicense": "SPDX-License-Identifier: Unlicense",
+    "SpdxOfl": "SPDX-License-Identifier: OFL-1.1",
+    "SpdxCcByNcSa": "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    "SpdxCcByNcNd": "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    "SpdxCcByNc": "SPDX-License-Identifier: CC-BY-NC-4.0",
+    "SpdxCcByNd": "SPDX-License-Identifier: CC-BY-ND-4.0",
+    "SpdxCcBySa": "SPDX-License-Identifier: CC-BY-SA-3.0",
+    "SpdxCcBy": "SPDX-License-Identifier: CC-BY-4.0",
+    "OflTerms": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "MitTitle": "The MIT License (MIT)\n",
+    "ApacheTitle": "Apache License\nVersion 2.0, January 2004\n",
+    "IscTitle": "ISC License\n",
+    "UnlicenseTitle": "The Unlicense\n",
+    "BoostTitle": "Boost Software License - Version 1.0 - August 17th, 2003\n",
+    "AgplRef": "It is available under the GNU AGPL v3.",
+    "LgplRef": "This library is licensed under the GNU Lesser General Public License v2.1.",
+    "MplRef": "Licensed under the terms of the Mozilla Public License 2.0.",
+    "EplRef": "Published under the Eclipse Public License, version 2.0.",
+    "IscRef": "This code is licensed under the ISC license.",
+    "ZlibRef": "It is distributed under the zlib License.",
+    "OflRef": "The fonts are released under the SIL Open Font License 1.1.",
+    "UnlicenseRef": "Foo is released under the Unlicense.",
+    "CcByNcSaRef": "The text is available under CC BY-NC-SA 4.0.",
+    "CcByNcNdRef": "The text is available under CC BY-NC-ND 4.0.",
+    "CcByNdRef": "Released under CC BY-ND 4.0.",
 }
 
 
@@ -74,8 +103,9 @@ def scan(spark, texts):
 
 
 def test_canonical_wording(spark):
-    assert set(WORDING) == set(licenses.SENTENCES)
-    texts = [f"Some words before. {t} Some words after." if t[-1] in ".:" else f"Some words before. {t}\nSome words after." for t in WORDING.values()]
+    assert set(WORDING) == {*licenses.SENTENCES, *licenses.NAMES, *licenses.SPDX, "SpdxApacheMit"}
+    assert {i for _, ids in licenses.RULES for i in ids} <= set(WORDING)
+    texts = [f"Some words before.\n\n{t}\nSome words after." if t[-1] == "\n" else f"Some words before. {t} Some words after." if t[-1] in ".:" else f"Some words before. {t}\nSome words after." for t in WORDING.values()]
     assert dict(zip(WORDING, (ids for ids, _ in scan(spark, texts)))) == {name: f"<{name}>" for name in WORDING}
 
 
@@ -89,7 +119,7 @@ def test_notices_across_marks(spark):
     }
     got = scan(spark, [" ".join(WORDING[i] for i in ids) for ids in notices])
     assert [x for _, x in got] == list(notices.values())
-    assert scan(spark, ["Note; it is: licensed under the MIT license; really", "This is it. Foo is licensed under the MIT license", "we; have: the MIT", "Roe v. Wade. Licensed under CC BY 4.0."]) == [("<MitRef>", "MIT"), ("", ""), ("", ""), ("<CcByRef>", "CC-BY")]
+    assert scan(spark, ["Note; it is: licensed under the MIT license; really", "This is it. Foo is licensed under the MIT license", "we; have: the MIT", "Roe v. Wade. Licensed under CC BY 4.0."]) == [("<MitRef>", "MIT"), ("<MitRef>", "MIT"), ("", ""), ("<CcByRef>", "CC-BY")]
 
 
 FULL = {
@@ -121,7 +151,7 @@ def test_wrapped_texts(spark, width, prefix):
 
 
 def test_one_line_references(spark):
-    lines = ["Some heading\nLicensed under the MIT License\nby somebody else", "Released under the\nMIT License\n", "Words\n# SPDX-License-Identifier: MIT\n# Copyright Foo", "This is a list\n\nlicensed under the\n\nMIT license", "Permission is hereby\n\ngranted", "Licensed under CC BY 4.0\nReleased under the MIT License"]
+    lines = ["Some heading\nLicensed under the MIT License\nby somebody else", "Released under the\nMIT License\n", "Words\n# SPDX-License-Identifier: MIT\n# Copyright Foo", "This is a list\n\nlicensed under the\n\nMIT licenses", "Permission is hereby\n\ngranted", "Licensed under CC BY 4.0\nReleased under the MIT License"]
     assert [x for _, x in scan(spark, lines)] == ["MIT", "MIT", "MIT", "", "", "MIT,CC-BY"]
 
 
@@ -130,3 +160,45 @@ def test_titles_that_run_into_the_licence(spark):
     texts = [f"{title} {' '.join(WORDING[i] for i in next(ids for ids in FULL if ids[0] == first))}" for first, title in titled.items()]
     assert [x for _, x in scan(spark, texts)] == ["MIT", "BSD-3-Clause", "ISC"]
     assert scan(spark, ["SPDX-License-Identifier: Apache-2.0 OR MIT\n", "SPDX-License-Identifier: MIT AND Foo"]) == [("<SpdxApacheMit>", "Apache-2.0 OR MIT"), ("", "")]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("This project is licensed under the MIT License - see the LICENSE.md file for details.", "MIT"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"),
+        ("Licensed under the Apache-2.0 license.", "Apache-2.0"),
+        ("Dual licensed under the MIT and GPL-2.0 licenses.", "MIT,GPL-2.0"),
+        ("Released under GPLv3.", "GPL-3.0"),
+        ("SPDX-License-Identifier: MIT AND BSD-3-Clause", "MIT,BSD-3-Clause"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0) AND CC-BY-SA-4.0 */", "Apache-2.0,GPL-2.0,CC-BY-SA"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later OR MIT", "MIT,GPL-2.0"),
+        ("# MIT License\n\nCopyright (c) 2020 Foo", "MIT"),
+        ("a licensed driver, released under the moon", ""),
+        ("Frei verwendbar, available under mit Namen", "MIT"),  # a name is a name, whatever the language around it
+    ],
+)
+def test_references_and_expressions(spark, text, want):
+    assert scan(spark, [text])[0][1] == want
+
+
+def test_gaps_of_any_length(spark):
+    """Works, holders and copyright lines may be as long as they like; many beginnings of one phrase take linear time."""
+    long = "Foo " * 500
+    texts = [f"This {long} is free software{WORDING['GplRedistribute3'].split('software', 1)[1]}", f"3. Neither the name of {long} nor the names of its contributors{WORDING['BsdEndorse'].split('contributors', 1)[1]}", f"MIT License Copyright {long} {WORDING['MitGrant']}", f"To the extent possible under law, {long} have{WORDING['Cc0Dedicate'].split('have', 1)[1]}"]
+    assert [ids for ids, _ in scan(spark, texts)] == ["<GplRedistribute3>", "<BsdEndorse>", "<MitGrant>", "<Cc0Dedicate>"]
+    began = time.time()
+    scan(spark, [piece * (400_000 // len(piece)) + " license" for piece in ("neither the name of a\n", "licensed under the ", "this\n", "licensed under mit or ", "in no event shall ", "permission is hereby granted ", "spdx license identifier mit and ")])
+    assert time.time() - began < 60
+
+
+def test_same_as_sql(spark):
+    """The SQL, which ends sentences at line ends, agrees on one-line texts of every wording, together and alone."""
+    texts = [*(t.strip().replace("\n", " ") for n, t in WORDING.items() if n not in ("GplRedistribute2", "GplRedistribute3", "LgplRedistribute", "AgplRedistribute", "GplHope", "MplTerms", "EplTerms", "BsdPermit", "ZlibPermit", "MitGrant", "ApacheComply", "ApacheUnder") and ";" not in t and ":" not in t), None, ""]
+    rows = list(enumerate([*texts, "Licensed under either of Apache License, Version 2.0 or MIT license at your option. Some words. Released under CC BY 4.0."]))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(licenses.OP4_SQL).fetchall()
+    got = licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(bool(x.licenses) for x in got) > 25

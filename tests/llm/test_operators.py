@@ -141,7 +141,7 @@ def test_licences(spark, odd, none):
     got = {x.doc_id: x for x in licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k].licenses for k in range(1, 6)] == ["MIT", "MIT,CC-BY-NC-4.0", "", "", ""] and got[5].unmatched == "<MitNotice>"
     trigger = re.compile(licenses.TRIGGER)
-    assert all(trigger.search(p) for p in licenses.SENTENCES.values())
+    assert all(trigger.search(p) for p in licenses.SENTENCES.values()) and all(trigger.search(f'{w} under x') for w in ('licensed', 'released', 'distributed', 'available', 'published', 'provided', 'covered', 'governed'))
     assert licenses.licences(odd).count() == odd.count() and not licenses.licences(none).collect()
 
 
