@@ -32,8 +32,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of near copies, the one with the smallest doc_id.
 
-    Null, empty and white-space texts link with nothing and stay, as do rows with a null identifier; of rows that share an
-    identifier one stays.
+    Null, empty and white-space texts link with nothing and stay, as do rows with a null identifier; rows that share an
+    identifier are documents of their own, of which unlike ones stay and of like ones the same one on each run.
     """
     return minhash_dedup.keep_one(docs)
 
