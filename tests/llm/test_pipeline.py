@@ -1,0 +1,96 @@
+"""The pipeline's stages one after another on an odd table and on an empty one, each against brute force over what it was given."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import pytest
+
+import corpus_pipeline
+from lakeloom.llm import bpe, graph, minhash_dedup, mixing, toxicity
+from lakeloom.llm.common import table
+
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, component_id double, kept boolean, v int"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdeimnorst") for _ in range(r.randint(2, 6)))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    texts = [None, "", " \n\t", "word " * 30_000, "word " * 30_000, "Ärger ABC", "Ärger abc", "ärger abc", "one two", "ONE two", *(" ".join(b) for b in base), " ".join(base[0]).upper()]
+    texts += [" ".join([*b[:k], "changed", *b[k + 1 :]]) for b in base for k in (3, 20, 40)]
+    rows = [(k, t, None, None if k % 5 == 0 else f"src{k % 3}", None, "h", 0.5, False, k) for k, t in enumerate(texts)]
+    rows += [rows[12], rows[12], (13, texts[14], "en", "src0", 1, "x", 0.5, True, 90), (None, texts[11], "en", "src0", 1, "x", 0.5, True, 91), (None, "alone here", "en", "src0", 1, "x", 0.5, True, 92)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def expected(name, rows, spark):
+    """What the stage keeps of rows, as a counter of rows; for the last stage, of (doc_id, ids)."""
+    if name == "toxicity":
+        docs = spark.createDataFrame(rows, SCHEMA)
+        scored = toxicity.toxicity_scorer(docs, table(spark, SF, "labels"))(docs, "score").collect()
+        return collections.Counter(x for x, y in zip(rows, scored) if y.score < 0.5)
+    if name == "exact dedup":
+        groups = collections.defaultdict(list)
+        for x in rows:
+            groups[lower(x.text)].append(x)
+        return collections.Counter(max(g, key=lambda x: (x.doc_id is not None, x.doc_id)) for g in groups.values())
+    if name.startswith("MinHash"):
+        sets = [minhash_dedup.shingle_set((x.text or "").encode()) for x in rows]
+        live = [k for k, x in enumerate(rows) if x.doc_id is not None and len(sets[k])]
+        star = dict(graph.spanning_edges((a, b) for a in live for b in live if a < b and minhash_dedup.jaccard_at_least(sets[a], sets[b], 75)))
+        groups = collections.defaultdict(list)
+        for k, x in enumerate(rows):
+            groups[star.get(k, k)].append(x)
+        return collections.Counter(min(g, key=lambda x: (x.doc_id is not None, x.doc_id)) for g in groups.values())
+    if name.startswith("mixing"):
+        sizes = collections.Counter()
+        for x in rows:
+            sizes[x.source] += len(x.text or "")
+        left = sum(v**mixing.ALPHA for s, v in sizes.items() if s not in mixing.TARGETS)
+        rest = 1 - sum(v for s, v in mixing.TARGETS.items() if sizes[s])
+        rate = {s: (mixing.TARGETS[s] if s in mixing.TARGETS else rest * v**mixing.ALPHA / left) * sizes.total() / v if v else mixing.EPOCHS for s, v in sizes.items()}
+        out = collections.Counter()
+        for x in rows:
+            u = (int(hashlib.md5(f"{mixing.SEED}:{'null' if x.doc_id is None else x.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            n = 0
+            p = c = math.exp(-rate[x.source])
+            while c <= u:
+                n += 1
+                p *= rate[x.source] / n
+                c += p
+            out[x] += n
+        return +out
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    return collections.Counter((x.doc_id, tuple(library.encode(x.text or "", add_special_tokens=False).ids)) for x in rows)
+
+
+def test_chain(spark, odd):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.collect()
+        want = expected(name, rows, spark)
+        out = stage(spark, docs, SF)
+        if name.startswith("BPE"):
+            assert collections.Counter((x.doc_id, tuple(x.ids)) for x in out.collect()) == want
+        else:
+            assert out.columns == odd.columns
+            assert collections.Counter(out.collect()) == want, name
+            docs = spark.createDataFrame(out.collect(), SCHEMA).repartition(4).cache()
+        assert rows and want
+
+
+def test_empty_chain(spark, odd):
+    docs = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.collect() == []
