@@ -13,8 +13,9 @@ member of a bucket against the bucket's smallest member, whose text is repeated,
 pairs across the components of buckets that still span several. The sets in such buckets are ordered by how rare their shingles
 are among them, and only pairs whose prefixes share a shingle, early enough in both for threshold percent to be shared, and that have a
 key in common, are read and judged. This loses no pair of the bucket, and documents that share a template but not threshold percent
-don't meet at all: what is rare in them fills their prefixes. What can still grow with the square of a group are sets of very unlike size
-that share their rarest shingles, and components of near copies that no smallest member joins; they meet in blocks of about BLOCK rows.
+don't meet at all: what is rare in them fills their prefixes. In ROUNDS rounds each set is judged with the one most alike of another
+component, so that groups of near copies that no smallest member joins become few components; then all pairs across those that are left.
+What can still grow with the square of a group are unlike sets that share their rarest shingles; they meet in blocks of about BLOCK rows.
 
 Defined results: null, empty or white-space texts have no shingles and link with nothing; rows with a null identifier
 link with nothing and stay; rows that share an identifier are documents of their own, told apart by their sets, whose groups
@@ -40,7 +41,7 @@ from .graph import connected_components, spanning_edges
 SYMBOLS, CHUNKS, ERRORS, WORDS = 60, 12, 1, 5
 WIDTH = SYMBOLS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-BLOCK = 512
+BLOCK, ROUNDS = 512, 2
 HOT_SAMPLE, HOT_LEAST = 20_000, 20
 SPREAD = 1000  # members of a hot bucket that meet one copy of its smallest member
 _RNG = np.random.Generator(np.random.PCG64(20240901))
@@ -187,9 +188,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _near_pairs(threshold: int):
+def _near_pairs(threshold: int, best: bool):
     def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) of two blocks of rows that share a shingle: of different components and near in size, so placed that threshold percent can still be shared, with a common key."""
+        """Pairs (a, b, alike) of two blocks of rows that share a shingle: of different components and near in size, so placed that threshold percent can still be shared, with a common key.
+
+        alike: how many symbols agree. best: of each row's partners only the one most alike, of equal ones the first.
+        """
         for g in sorted_groups(batches, 3):
             bi, bj = g.column(1)[0].as_py(), g.column(2)[0].as_py()
             blk, ids, comp, n, pos = (g.column(k).to_numpy() for k in range(3, 8))
@@ -203,11 +207,22 @@ def _near_pairs(threshold: int):
                 if bi == bj:
                     ok &= r[:, None] < cols[None]
                 x, y = np.nonzero(ok)
+                found = []
                 for k in range(0, len(x), 65536):
                     a, b = r[x[k : k + 65536]], cols[y[k : k + 65536]]
-                    meet = ((sig[a] != sig[b]).reshape(-1, CHUNKS, WIDTH).sum(axis=2) <= ERRORS).any(axis=1)
-                    a, b = ids[a[meet]], ids[b[meet]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    off = (sig[a] != sig[b]).reshape(-1, CHUNKS, WIDTH).sum(axis=2)
+                    meet = (off <= ERRORS).any(axis=1)
+                    found.append(np.stack([ids[a], ids[b], SYMBOLS - off.sum(axis=1)])[:, meet])
+                a, b, alike = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+                if best:  # for either side
+                    one, two = np.r_[a, b], np.r_[b, a]
+                    order = np.lexsort((two, -np.r_[alike, alike], one))
+                    order = order[np.r_[True, one[order][1:] != one[order][:-1]]] if len(order) else order
+                    a, b, alike = one[order], two[order], np.r_[alike, alike][order]
+                for k in range(0, len(a), 65536):
+                    part = slice(k, k + 65536)
+                    low, high = (np.minimum(a, b), np.maximum(a, b)) if not best else (a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(low[part]), pa.array(high[part]), pa.array(alike[part])], names=["a", "b", "alike"])
 
     return near_pairs
 
@@ -228,13 +243,13 @@ def _prefixes(sets: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return out.select("e.s", "id", "n", (F.col("alone") + F.col("k")).alias("pos"))
 
 
-def _cross_pairs(open_sets: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of open_sets (id, comp, n, sig) in different components that may be similar, by the shingles that their prefixes share.
+def _cross_pairs(prefixes: DataFrame, open_sets: DataFrame, threshold: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of open_sets (id, comp, n, sig) in different components that may be similar, by the shingles that their prefixes share. best: for each set the pair most alike alone.
 
     The smaller set of a similar pair has the first shared shingle among its first 1 - 2t / (1 + t), so a shingle's rows without one that
     has it there (`early`) give nothing. Rows meet in blocks, but neither two that aren't early nor two of the shingle's largest component.
     """
-    rows = materialize(_prefixes(open_sets, texts, threshold).join(open_sets.select("id", "comp"), "id"), "prefixes")
+    rows = prefixes.join(open_sets.select("id", "comp"), "id")
     rows = rows.withColumn("early", F.expr(f"(n - pos) * {100 + threshold} >= n * {2 * threshold}"))
     of_s = rows.groupBy("s", "comp").agg(F.count("*").alias("count"), F.max("early").alias("early")).groupBy("s")
     of_s = of_s.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"), F.max("early").alias("some")).filter("comps > 1 and some").select("s", "largest")
@@ -248,7 +263,10 @@ def _cross_pairs(open_sets: DataFrame, texts: DataFrame, threshold: int) -> Data
     rows = rows.withColumn("mate", F.explode(F.expr("sequence(own.lo, own.hi - 1)")))
     tasks = rows.join(open_sets.select("id", "sig"), "id").select("s", F.least("blk", "mate").alias("bi"), F.greatest("blk", "mate").alias("bj"), "blk", "id", "comp", "n", "pos", "sig")
     where = ["s", "bi", "bj"]
-    return tasks.repartition(*where).sortWithinPartitions(*where).mapInArrow(_near_pairs(threshold), "a long, b long").distinct()
+    pairs = tasks.repartition(*where).sortWithinPartitions(*where).mapInArrow(_near_pairs(threshold, best), "a long, b long, alike long")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("alike", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
@@ -324,9 +342,17 @@ def _components(reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     members = materialize(members.select("id", "comp", "n", "sig"), "open-sets")
     if members.head(1):
         wanted = materialize(read(members.select("id")), "cross-texts")
-        pairs = materialize(_cross_pairs(members, wanted, threshold), "cross-pairs")
-        more = materialize(with_texts(pairs, wanted).filter(similar("body_a", "body_b")).select("a", "b"), "cross-links")
-        components = connected_components(components.union(more))
+        prefixes = materialize(_prefixes(members, wanted, threshold), "prefixes")
+        judged = None
+        # first, in rounds, each set and the one most alike of another component, then all pairs across what components are left
+        for best in [True] * ROUNDS + [False]:
+            now = materialize(_assign(members.drop("comp"), components, "id"), "open-components")
+            pairs = _cross_pairs(prefixes, now, threshold, best)
+            pairs = materialize(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), "cross-pairs")
+            more = materialize(with_texts(pairs, wanted).filter(similar("body_a", "body_b")).select("a", "b"), "cross-links")
+            if more.head(1):
+                components = connected_components(components.union(more))
+            judged = pairs if judged is None else judged.unionByName(pairs)
     return components
 
 def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
