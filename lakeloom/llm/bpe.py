@@ -10,7 +10,7 @@ Words are encoded where they are read, so no text is shuffled. Encoded words are
 they are many, those not met again are dropped.
 
 Letters, digits, lower case and composed marks follow the installed tokenizers library, whose Unicode tables are older or newer than those
-of Python and of the regex module; where it is missing, theirs hold.
+of Python and of the regex module; where it is missing, nothing is encoded: ImportError.
 
 Defined results: a null text counts as empty; empty texts have no tokens; texts are processed whole, however long; rows
 that repeat are encoded alike; columns other than the identifier's and the text's aren't looked at; an empty table gives an
@@ -58,11 +58,8 @@ def unicode_differences(spec: str) -> tuple[dict[str, str], dict[str, str], str]
     the library doesn't know are starters to it: they neither change places with others nor join what stands before them.
     """
     import regex
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-    try:
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-    except ImportError:
-        return {"L": "", "N": ""}, {}, ""
     every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
     classed = {k: set(regex.findall(rf"\p{{{k}}}", "".join(every))) for k in "LN"}
     unlike = {}

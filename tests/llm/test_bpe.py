@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, character by character, and its fits against merging anew."""
 
 import random
+import sys
 import unicodedata
 from pathlib import Path
 
@@ -70,3 +71,10 @@ def test_words_not_met_again_are_dropped(trie, monkeypatch):
         monkeypatch.setattr(bpe, name, value)
     small = bpe.TrieBpe(Path(bpe.default_vocabulary()).read_text(encoding="utf-8"))
     assert list(small.encode(texts)) == want and len(small.known) < 500
+
+
+def test_without_the_library_nothing_is_encoded(spark, monkeypatch):
+    """Python's own Unicode tables give other ids, so a missing library must not look like a result."""
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    with pytest.raises(ImportError):
+        bpe.tokenize(spark.createDataFrame([(1, "e\u0c3c\u0301")], "doc_id long, text string"))
