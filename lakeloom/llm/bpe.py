@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import release_memory, table
 
 KEPT_WORDS, KEPT_STEPS, SLICE_CHARS = 100_000, 150_000, 1_000_000
+BLOCK_CHARS = 4096  # code points that are compared with the library at a time
 ALWAYS = 1 << 60  # a merge rank beyond all others
 
 
@@ -60,19 +61,21 @@ def unicode_differences(spec: str) -> tuple[dict[str, str], dict[str, str], str]
     import regex
     from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
-    classed = {k: set(regex.findall(rf"\p{{{k}}}", "".join(every))) for k in "LN"}
-    unlike = {}
-    for k, mine in classed.items():
-        own = pre_tokenizers.Split(Regex(rf"\p{{{k}}}+"), "removed", invert=True).pre_tokenize_str("".join(sorted(mine)))
-        unlike[k] = "".join(sorted(mine.difference(*(word for word, _ in own))))
+    split = {k: pre_tokenizers.Split(Regex(rf"\p{{{k}}}+"), "removed", invert=True).pre_tokenize_str for k in "LN"}
     lower = lambda c: unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
     normal = Tokenizer.from_str(spec).normalizer.normalize_str
-    asked = {c for c in every if lower(c) != c} | {c for c in classed["L"] | classed["N"] if unicodedata.category(c) == "Cn"}
-    swapped = [(c, f"x{c}\u0334" if unicodedata.combining(c) > 1 else f"x\u0301{c}") for c in every if unicodedata.combining(c)]
-    joined = [(whole[1], whole) for c in every if len(whole := unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFC", whole) == c]
-    unknown = {c for c, text in swapped + joined if normal(text) != lower(text)}
-    return unlike, {c: low for c in asked if (low := normal(c)) != lower(c)}, "".join(sorted(unknown))
+    unlike, lowered, unknown = {k: [] for k in split}, {}, set()
+    for block in range(0x80, 0x110000, BLOCK_CHARS):  # all at once would leave the driver's Python 100 MB larger
+        every = [chr(c) for c in range(block, min(block + BLOCK_CHARS, 0x110000)) if not 0xD800 <= c < 0xE000]
+        classed = {k: regex.findall(rf"\p{{{k}}}", "".join(every)) for k in split}
+        for k, mine in classed.items():
+            unlike[k] += sorted(set(mine).difference(*(word for word, _ in split[k]("".join(mine)))))
+        asked = {c for c in every if lower(c) != c} | {c for mine in classed.values() for c in mine if unicodedata.category(c) == "Cn"}
+        lowered |= {c: low for c in asked if (low := normal(c)) != lower(c)}
+        swapped = [(c, f"x{c}\u0334" if unicodedata.combining(c) > 1 else f"x\u0301{c}") for c in every if unicodedata.combining(c)]
+        joined = [(whole[1], whole) for c in every if len(whole := unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFC", whole) == c]
+        unknown |= {c for c, text in swapped + joined if normal(text) != lower(text)}
+    return {k: "".join(out) for k, out in unlike.items()}, lowered, "".join(sorted(unknown))
 
 
 class TrieBpe:
@@ -300,7 +303,9 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """A row for each document: id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the token ids themselves."""
     spec = Path(vocabulary or default_vocabulary()).read_text(encoding="utf-8")  # under 2 MB, read where the driver is
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body")).mapInArrow(encoder(spec, unicode_differences(spec), with_ids), schema).withColumnRenamed("id", id_col)
+    encode = encoder(spec, unicode_differences(spec), with_ids)
+    release_memory()  # the driver's, of the comparison with the library
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
 
 
 def detokenize(encoded: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

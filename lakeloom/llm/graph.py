@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Self-loops and rows with a null are ignored; an empty edge table gives an empty result. Edges are
     contracted within Arrow batches first, so that cliques and long chains shrink before any shuffle. A hot node's
-    minimum is pre-aggregated; the joins below are plain equi-joins, whose skewed side Spark splits at run time.
+    minimum is pre-aggregated; the joins below are plain equi-joins, whose skewed side Spark splits at run time. Both their sides grow with
+    the edges, so neither is broadcast: many rounds would fill the driver with such tables, small as they may be.
     """
     u, v = edges.columns[:2]
     e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null and u != v")
@@ -54,9 +55,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(small.filter("u != v").distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -16,6 +16,7 @@ key in common, are read and judged. This loses no pair of the bucket, and docume
 don't meet at all: what is rare in them fills their prefixes. In ROUNDS rounds each set is judged with the one most alike of another
 component, so that groups of near copies that no smallest member joins become few components; then all pairs across those that are left.
 What can still grow with the square of a group are unlike sets that share their rarest shingles; they meet in blocks of about BLOCK rows.
+Joins of one row for each set or vertex with another such table never broadcast (`merge`): there are many, and each would take some of the driver's memory.
 
 Defined results: null, empty or white-space texts have no shingles and link with nothing; rows with a null identifier
 link with nothing and stay; rows that share an identifier are documents of their own, told apart by their sets, whose groups
@@ -271,7 +272,7 @@ def _cross_pairs(prefixes: DataFrame, open_sets: DataFrame, threshold: int, best
 
 def _assign(df: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
     """df with `comp`: the component of its identifier."""
-    return df.join(components.select(F.col("u").alias(id_col), F.col("v").alias("comp")), id_col, "left").withColumn("comp", F.coalesce("comp", id_col))
+    return df.join(components.select(F.col("u").alias(id_col), F.col("v").alias("comp")).hint("merge"), id_col, "left").withColumn("comp", F.coalesce("comp", id_col))
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -317,9 +318,9 @@ def _components(reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     def read(vertices: DataFrame) -> DataFrame:
         """id and body of each of these vertices (id); other texts are left out before the join shuffles them."""
-        rows = materialize(reps.select("v", "id", "h").join(vertices.select(F.col("id").alias("v")), "v"), "wanted")
+        rows = materialize(reps.select("v", "id", "h").join(vertices.select(F.col("id").alias("v")).hint("merge"), "v"), "wanted")
         mine = KeyFilter(rows.select(F.xxhash64("id", "h").alias("h"))).keep(texts, F.xxhash64("id", "h"))
-        return mine.dropDuplicates(["id", "h"]).join(rows, ["id", "h"]).select(F.col("v").alias("id"), "body")
+        return mine.dropDuplicates(["id", "h"]).join(rows.hint("merge"), ["id", "h"]).select(F.col("v").alias("id"), "body")
 
     def with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         return pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
@@ -328,7 +329,7 @@ def _components(reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     hot = buckets.filter("hot").select(F.col("center").alias("a")).distinct()
     salts = stars.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).filter("salts > 1")
     salts = materialize(salts.join(F.broadcast(hot), "a", "left_semi"), "salts")
-    stars = _salted(stars, salts).join(side("b"), "b").join(_copies(side("a"), salts), ["a", "salt"]).filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    stars = _salted(stars, salts).join(side("b").hint("merge"), "b").join(_copies(side("a"), salts), ["a", "salt"]).filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     stars = materialize(stars.select("a", "b", "salt").distinct(), "stars")
     wanted = materialize(read(materialize(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct(), "star-ids")), "star-texts")
     both = stars.join(wanted.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(_copies(wanted.select(F.col("id").alias("a"), F.col("body").alias("body_a")), salts), ["a", "salt"])
@@ -377,7 +378,7 @@ def _resolve(texts: DataFrame, threshold: int) -> DataFrame:
     grouped = grouped.join(reps.select("v", "id", "set_key", "h"), "v")
     first = grouped.groupBy("comp").agg(F.min(F.struct("id", "set_key", "h")).alias("first"))
     first = grouped.join(first, "comp").select("v", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
-    of_set = reps.join(first, "v", "left").select("set_key", F.coalesce("first_id", "id").alias("component_id"), F.coalesce("first_h", "h").alias("first_h"))
+    of_set = reps.join(first.hint("merge"), "v", "left").select("set_key", F.coalesce("first_id", "id").alias("component_id"), F.coalesce("first_h", "h").alias("first_h"))
     found = feats.select("id", "h", "set_key", "n").join(of_set, "set_key", "left")
     linked = F.col("id").isNotNull() & F.col("set_key").isNotNull()
     stays = ~linked | (F.col("id").eqNullSafe(F.col("component_id")) & F.col("h").eqNullSafe(F.col("first_h")))

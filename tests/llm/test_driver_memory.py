@@ -1,0 +1,28 @@
+"""What operators take of the driver's memory besides their results."""
+
+import tracemalloc
+from pathlib import Path
+
+import pytest
+
+from lakeloom.llm import bpe, graph
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "u long, v long")
+    assert {(x.u, x.v) for x in graph.connected_components(edges).collect()} == {(k, 0) for k in range(1, 51)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_library_is_compared_in_blocks():
+    """The driver's Python never holds every code point."""
+    pytest.importorskip("tokenizers")
+    spec = Path(bpe.default_vocabulary()).read_text(encoding="utf-8")
+    tracemalloc.start()
+    try:
+        bpe.unicode_differences(spec)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
